@@ -79,15 +79,15 @@ def _quality_sql(width: int = 3, min_rows: int = 100) -> str:
     gap = r"[\x20\x09-\x0D]+"
     return f"""
 with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t from documents),
-w as (select r, doc_id, lang, source, t, list_filter(regexp_split_to_array(t, '{gap}'), x -> x <> '') as ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
+w as (select r, doc_id, lang, source, t, list_filter(regexp_split_to_array(t, '{gap}'), lambda x: x <> '') as ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
 pos as (select r, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
 win as (select r, i, concat_ws(' ', word, lead(word, 1) over s, lead(word, 2) over s, lead(word, 3) over s, lead(word, 4) over s, lead(word, 5) over s, lead(word, 6) over s, lead(word, 7) over s) as g,
                lead(word, 7) over s as last, lead(word, 1) over s = word as stutter from pos window s as (partition by r order by i)),
 again as (select r, i from (select r, i, count(*) over (partition by r, g) as c from win where last is not null) where c > 1),
 cover as (select r, count(distinct i + k) as n_repeat_words from again, (select unnest(range(8)) as k) group by r),
 st as (select r, count(*) filter (stutter) as n_stutters from win group by r),
-base as (select w.r, doc_id, lang, source, len(ws) as n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::bigint as word_chars,
+base as (select w.r, doc_id, lang, source, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
                 len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
                 len(ls) as n_lines, len(regexp_extract_all(t, '!')) as n_exclaims, coalesce(n_stutters, 0) as n_stutters
          from w left join cover on w.r = cover.r left join st on w.r = st.r),
