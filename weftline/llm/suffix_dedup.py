@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialize
 
 SIZE, K = 50, 24
+SEPARATOR = 0xFF  # no byte of UTF-8
 CHUNK, BUCKET, HOT = 2 << 20, 16 << 20, 20_000
 _U = np.uint64
 _TABLE = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -159,43 +161,52 @@ def distinct(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return group, order, first
 
 
-def sort_collection(text: np.ndarray, ends: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, suffix length) of all suffixes in order, built column by column from the segments' ends.
+def sort_collection(text: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
+    """Places in ``text`` of all suffixes in order, built column by column from the segments' ends.
 
-    ``text`` holds the segments, ``ends`` where each ends. A round turns the order of all suffixes up to
-    a length into the next: the empty suffixes, then those of the last order by the symbol before them.
+    ``text`` holds the segments, each between two bytes SEPARATOR; ``ends`` are the places of the closing
+    ones, that is, of the empty suffixes. A round turns the order of all suffixes up to a length into the
+    next: the empty suffixes, then those of the last order by the symbol before them.
     """
-    m = len(lens)
-    none = np.arange(m, dtype=np.int32)
-    seg, size = none, np.zeros(m, dtype=np.uint8)
-    text_at = ends.astype(np.int64) - 1
-    for _ in range(int(lens.max()) if m else 0):
-        more = size < lens[seg]
-        seg, size = seg[more], size[more]
-        before = text[text_at[seg] - size]
-        order = np.argsort(before, kind="stable")
-        seg, size = np.concatenate([none, seg[order]]), np.concatenate([np.zeros(m, np.uint8), size[order] + np.uint8(1)])
-    return seg, size
+    order = none = ends.astype(np.int32)
+    for _ in range(longest):
+        before = text[order - 1]
+        by = np.argsort(before, kind="stable")
+        more = len(by) - np.count_nonzero(before == SEPARATOR)  # it sorts last
+        order = np.concatenate([none, order[by[:more]] - 1])
+    return order
 
 
 def repeats(text: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each segment (one after another in ``text``) a mask of the windows that also occur with a smaller id."""
+    if not len(windows):
+        return np.zeros(0, dtype=np.uint32)
     lens = (windows + SIZE - 1).astype(np.int64)
-    ends = np.cumsum(lens)
-    seg, size = sort_collection(text, ends, lens.astype(np.uint8))
-    whole = size >= SIZE
-    seg, size = seg[whole], size[whole].astype(np.int64)
-    at = ends[seg] - size
-    prefix = np.zeros(len(at), dtype=bool)
-    for lo in range(1, len(at), 1 << 16):
-        i = np.arange(lo, min(len(at), lo + (1 << 16)))
-        prefix[i] = (text[at[i][:, None] + np.arange(SIZE)] == text[at[i - 1][:, None] + np.arange(SIZE)]).all(axis=1)
-    if not len(at):
-        return np.zeros(len(windows), dtype=np.uint32)
+    ends = np.cumsum(lens + 1)
+    held = np.full(ends[-1] + 1, SEPARATOR, dtype=np.uint8)
+    held[np.arange(len(text)) + 1 + np.repeat(np.arange(len(lens)), lens)] = text
+    place = sort_collection(held, ends, int(lens.max()))
+    owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1)
+    seg = owner[place - 1]
+    whole = ends[seg] - place >= SIZE
+    place, seg = place[whole], seg[whole]
+    prefix = np.zeros(len(place), dtype=bool)
+    for lo in range(1, len(place), 1 << 16):
+        i = np.arange(lo, min(len(place), lo + (1 << 16)))
+        prefix[i] = (held[place[i][:, None] + np.arange(SIZE)] == held[place[i - 1][:, None] + np.arange(SIZE)]).all(axis=1)
     first = np.flatnonzero(~prefix)
-    least = np.repeat(np.minimum.reduceat(ids[seg], first), np.diff(np.append(first, len(at))))
+    least = np.repeat(np.minimum.reduceat(ids[seg], first), np.diff(np.append(first, len(place))))
     again = least < ids[seg]
-    return np.bincount(seg[again], weights=2.0 ** (lens[seg] - size)[again], minlength=len(windows)).astype(np.uint32)
+    off = place - 1 - np.concatenate([[0], ends[:-1]])[seg]
+    return np.bincount(seg[again], weights=2.0 ** off[again], minlength=len(windows)).astype(np.uint32)
+
+
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -213,7 +224,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, (own := table.select(rest).combine_chunks()).schema) as out:
                 out.write_table(own)
-            cells = [[number], [np.stack([np.array(ids.fill_null(0).to_pylist(), dtype=np.int64), known.astype(np.int64)]).tobytes()], [np.array([len(b) for b in data], dtype=np.int64).tobytes()], [b"".join(data)], [sink.getvalue().to_pybytes()]]
+            cells = [[number], [np.stack([np.array(ids.fill_null(0).to_pylist(), dtype=np.int64), known.astype(np.int64)]).tobytes()], [np.array([len(b) for b in data], dtype=np.int64).tobytes()], [_pack(b"".join(data))], [sink.getvalue().to_pybytes()]]
             number, held, bytes_held = number + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, [pa.int64()] + [pa.binary()] * 4)], names=["chunk", "ids", "lens", "data", "rest"])
 
@@ -234,7 +245,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
 def _open(row: pa.Table, buckets: int) -> tuple[Segments, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row.column("ids")[0].as_py(), dtype=np.int64).reshape(2, -1)
     lens = np.frombuffer(row.column("lens")[0].as_py(), dtype=np.int64)
-    buf = np.frombuffer(row.column("data")[0].as_py(), dtype=np.uint8)
+    buf = np.frombuffer(_unpack(row.column("data")[0].as_py()), dtype=np.uint8)
     return Segments(buf, lens, ids[1] > 0, buckets), ids[0], lens
 
 
@@ -319,7 +330,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
                 out[3].append(least[lo:hi].tobytes())
                 n = windows[lo:hi] + SIZE - 1
                 at = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out[4].append(segments.buf[at].tobytes())
+                out[4].append(_pack(segments.buf[at].tobytes()))
         kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "chunk", "windows", "ids", "data"])
 
@@ -327,7 +338,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
         windows = [np.frombuffer(x, np.uint8) for x in table.column("windows").to_pylist()]
         every = np.concatenate(windows).astype(np.int64)
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-        text = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("data").to_pylist()])
+        text = np.concatenate([np.frombuffer(_unpack(x), np.uint8) for x in table.column("data").to_pylist()])
         lens = every + SIZE - 1
         starts = np.cumsum(lens) - lens
         rows = np.zeros((len(every), 2 * SIZE - K + 1), dtype=np.uint8)
