@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, prepare
 
 BUCKET, TABLES, SAMPLE, CELL = 64, 10, 64, 8192
 SCHEMA = "query_id long, rank int, vec_id long, score double"
@@ -161,6 +161,7 @@ def fit_probes(rows: DataFrame, queries: DataFrame, hasher: Hasher, k: int, reca
 
 def search(vectors: DataFrame, is_query, k: int = 5, recall: float = 0.97) -> DataFrame:
     """``vectors`` (vec_id, embedding, ...); ``is_query`` is a condition on vec_id. Returns query_id, rank, vec_id, score."""
+    prepare(vectors)
     spark = vectors.sparkSession
     fine = usable(vectors)
     same = Window.partitionBy("embedding").orderBy("vec_id")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import prepare
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 # Element classes.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -227,6 +229,7 @@ def main_text(page: str | None, tree=None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html, ...) to page_id, url, text, n_chars."""
+    prepare(pages)
 
     def run(batches):
         for batch in batches:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import prepare
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 # Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -135,6 +137,7 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> tuple[dict[str, int], i
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """``docs`` (doc_id, text, ...) to one row each: counts, base and all labels, best share, and ``spans`` (label@word, comma-joined)."""
+    prepare(docs)
     df, n_docs = frequencies(docs, templates)
 
     def run(batches):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, prepare
 from weftline.llm.components import components
 
 N_HASH, WORDS = 64, 5
@@ -56,7 +56,7 @@ _words = _Words()
 
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word 5-grams (lower case, split at white space)."""
-    if len(_words) > 1_000_000:
+    if len(_words) > 200_000:
         _words.clear()
     split = [(t or "").lower().split() for t in texts]
     flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), np.uint64, sum(map(len, split)))
@@ -283,6 +283,7 @@ def _exact(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 def join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), depth: int = 3, recall: float = 0.9999, limit: int = 1000, block_tokens: int = 1_000_000, block_rows: int = 1000) -> DataFrame:
     """``docs`` (doc_id, text, ...) to doc_id, class_id, n_links, copies, thash."""
+    prepare(docs)
     t = threshold[0] / threshold[1]
     least = t - 6 * math.sqrt(t * (1 - t) / N_HASH)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("thash"), "text")

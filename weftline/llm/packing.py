@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import prepare
 from weftline.llm.tokens import byte_bpe
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -143,6 +144,7 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 1024) -> DataFrame:
     """``docs`` (doc_id, text, ...) to one row per piece; no shuffle, each partition is a stream of its own."""
+    prepare(docs)
     if tokenizer is None:
         import public_tokenizers
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import prepare
+
 MARK = "▁"
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, margin double, n_unknown long, decoded_crc32 long, round_trip boolean"
 _PART = re.compile(f"{MARK}*[^{MARK}]*")
@@ -127,6 +129,7 @@ def load(path: str, n: int) -> Pieces:
 
 def encode(docs: DataFrame, model: str | None = None, n: int = 2) -> DataFrame:
     """``docs`` (doc_id, text, ...) to a digest of the best segmentation, its lead over the second (``margin``; null if there is none) and of the text decoded from it."""
+    prepare(docs)
     if model is None:
         import public_tokenizers
 

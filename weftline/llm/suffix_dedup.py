@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, prepare
 
 SIZE, K = 50, 24
 SEPARATOR = 0xFF  # no byte of UTF-8
-CHUNK, BUCKET, HOT = 2 << 20, 16 << 20, 20_000
+CHUNK, BUCKET, HOT, SUBS = 1 << 20, 16 << 20, 20_000, 16
 _U = np.uint64
 _TABLE = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.uint64)
 _A = np.random.default_rng(7).integers(1 << 62, 1 << 63, 6, dtype=np.uint64) | _U(1)
@@ -107,7 +107,7 @@ class Segments:
         return key[at], doc[at] != doc[last]
 
     def shared(self, keys: np.ndarray, shared: np.ndarray, hot: np.ndarray, ids: np.ndarray):
-        """Distinct contents of segments with a shared key, in a fixed order: (key, start, windows, smallest id), and for each occurrence (start, windows, id, content)."""
+        """Distinct contents of segments with a shared key, in a fixed order: (bucket, start, windows, smallest id, part of the bucket), and for each occurrence (start, windows, id, content)."""
         at = np.searchsorted(keys, self.key)
         pick = shared[at] if len(at) else np.zeros(0, bool)
         start, windows, doc, key = self.start[pick], self.windows[pick], self.doc[pick], self.key[pick]
@@ -133,7 +133,7 @@ class Segments:
         ids = ids[doc]
         least = np.minimum.reduceat(ids[order], first) if len(order) else np.zeros(0, np.int64)
         lead = order[first] if len(order) else order
-        return (key[lead] >> 32, start[lead], windows[lead], least), (start, windows, ids, content)
+        return (key[lead] >> 32, start[lead], windows[lead], least, key[lead] % SUBS), (start, windows, ids, content)
 
 
 def distinct(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,6 +201,27 @@ def repeats(text: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarra
     return np.bincount(seg[again], weights=2.0 ** off[again], minlength=len(windows)).astype(np.uint32)
 
 
+def sort_part(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Masks of repeated windows for segments that may be equal: equal ones are sorted once."""
+    lens = windows + SIZE - 1
+    rows = np.zeros((len(windows), 2 * SIZE - K + 1), dtype=np.uint8)
+    cell = np.arange(rows.shape[1])
+    last = len(text) - 1
+    for lo in range(0, len(windows), 1 << 15):
+        got = text[np.minimum(starts[lo : lo + (1 << 15), None] + cell, last)]
+        got[cell[None, :] >= lens[lo : lo + (1 << 15), None]] = 0
+        got[:, -1] = windows[lo : lo + (1 << 15)]
+        rows[lo : lo + (1 << 15)] = got
+    group, order, first = distinct(rows, np.zeros(len(windows), np.int64))
+    least = np.minimum.reduceat(ids[order], first)
+    lead = order[first]
+    n = lens[lead]
+    own = np.repeat(starts[lead] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    masks = repeats(text[own], windows[lead], least)[group]
+    # The content itself may stand in another chunk with a smaller id: then all its windows repeat.
+    return np.where(ids > least[group], (1 << windows) - 1, masks).astype(np.uint32)
+
+
 def _pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -276,6 +297,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
 
     ``stable``: ``docs`` is read from files, so its rows come in the same partitions each time; else it is written first.
     """
+    prepare(docs)
     if not stable:
         docs = materialize(docs, "repeats-input")
     if not texts:
@@ -318,11 +340,11 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
     flags = materialize(posted.groupBy("bucket").applyInArrow(meet, _REPLY), "repeats-flags")
 
     def send(chunk: pa.Table, reply: pa.Table) -> pa.Table:
-        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        out: tuple[list, ...] = tuple([] for _ in range(6))
         if chunk.num_rows:
             segments, ids, _ = _open(chunk, buckets)
             keys, _ = segments.keys()
-            (bucket, start, windows, least), _ = segments.shared(keys, *_bits(reply, keys), ids)
+            (bucket, start, windows, least, sub), _ = segments.shared(keys, *_bits(reply, keys), ids)
             for b, lo, hi in _cut(bucket):
                 out[0].append(b)
                 out[1].append(chunk.column("chunk")[0].as_py())
@@ -331,37 +353,28 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
                 n = windows[lo:hi] + SIZE - 1
                 at = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 out[4].append(_pack(segments.buf[at].tobytes()))
-        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "chunk", "windows", "ids", "data"])
+                out[5].append(sub[lo:hi].astype(np.uint8).tobytes())
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "chunk", "windows", "ids", "data", "sub"])
 
     def sort_bucket(table: pa.Table) -> pa.Table:
         windows = [np.frombuffer(x, np.uint8) for x in table.column("windows").to_pylist()]
         every = np.concatenate(windows).astype(np.int64)
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
         text = np.concatenate([np.frombuffer(_unpack(x), np.uint8) for x in table.column("data").to_pylist()])
+        sub = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("sub").to_pylist()])
         lens = every + SIZE - 1
         starts = np.cumsum(lens) - lens
-        rows = np.zeros((len(every), 2 * SIZE - K + 1), dtype=np.uint8)
-        cell = np.arange(rows.shape[1])
-        padded = np.concatenate([text, np.zeros(rows.shape[1], np.uint8)])
-        for lo in range(0, len(every), 1 << 15):
-            got = padded[starts[lo : lo + (1 << 15), None] + cell]
-            got[cell[None, :] >= lens[lo : lo + (1 << 15), None]] = 0
-            got[:, -1] = every[lo : lo + (1 << 15)]
-            rows[lo : lo + (1 << 15)] = got
-        group, order, first = distinct(rows, np.zeros(len(every), np.int64))
-        least = np.minimum.reduceat(ids[order], first)
-        lead = order[first]
-        n = lens[lead]
-        own = np.repeat(starts[lead] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        masks = repeats(text[own], every[lead], least)[group]
-        # The content itself may stand in another chunk with a smaller id: then all its windows repeat.
-        masks = np.where(ids > least[group], (1 << every) - 1, masks).astype(np.uint32)
+        masks = np.zeros(len(every), dtype=np.uint32)
+        for part in range(SUBS):  # equal windows lie in one part
+            mine = np.flatnonzero(sub == part)
+            if len(mine):
+                masks[mine] = sort_part(text, starts[mine], every[mine], ids[mine])
         ends = np.cumsum([len(w) for w in windows])
         cells = [masks[e - len(w) : e].tobytes() for w, e in zip(windows, ends)]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": pa.array([1] * len(cells), pa.int32()), "a": pa.array(cells, pa.binary()), "b": pa.array([b""] * len(cells), pa.binary())})
 
-    sent = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, windows binary, ids binary, data binary")
+    sent = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, windows binary, ids binary, data binary, sub binary")
     masks = materialize(sent.groupBy("bucket").applyInArrow(sort_bucket, _REPLY), "repeats-masks")
 
     rest_schema = docs.select(*[c for c in docs.columns if c not in ("doc_id", "text")]).schema
@@ -373,7 +386,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
         if chunk.num_rows:
             segments, ids, lens = _open(chunk, buckets)
             keys, _ = segments.keys()
-            (bucket, _, _, least), (start, windows, own, content) = segments.shared(keys, *_bits(reply, keys), ids)
+            (bucket, _, _, least, _), (start, windows, own, content) = segments.shared(keys, *_bits(reply, keys), ids)
             mask = np.zeros(len(bucket), dtype=np.int64)
             where = {b: (lo, hi) for b, lo, hi in _cut(bucket)}
             for kind, b, a in zip(*[reply.column(c).to_pylist() for c in ("kind", "bucket", "a")]):

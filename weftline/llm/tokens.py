@@ -25,7 +25,7 @@ _BEYOND = re.compile("[^\x00-ɏ]")
 class WordIds(dict):
     """Word to row of a table of ids; forgets all when full."""
 
-    def __init__(self, encode_piece, limit: int = 400_000):
+    def __init__(self, encode_piece, limit: int = 250_000):
         super().__init__()
         self._encode, self.limit = encode_piece, limit
         self.flat, self.starts = array("I"), array("q", [0])
