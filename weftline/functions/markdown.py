@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from weftline.functions.html_tree import Node, parse
 
 # Skipped elements, block elements, boilerplate sentences, metadata keys.
-SKIP = frozenset("script style noscript template svg math iframe nav footer aside form button select head".split())
+SKIP = frozenset("title script style noscript template svg math iframe nav footer aside form button select head".split())
 BLOCK = frozenset("address article section main div p figure figcaption details summary dl dt dd header center fieldset".split())
 BOILERPLATE = frozenset(
     ["skip to content", "skip to main content", "accept all cookies", "accept cookies", "we use cookies", "subscribe to our newsletter", "sign in", "log in", "sign up", "share this", "back to top", "read more", "advertisement", "all rights reserved", "loading", "toggle navigation"]

@@ -127,6 +127,6 @@ def visible_chars(text: pa.Array) -> pa.Array:
     """Characters of non-blank lines without link destinations."""
 
     def count(t: str) -> int:
-        return sum(len(line.strip()) - sum(len(m[1]) for m in re.finditer(r"\](\((?:[^()\n]|\([^()\n]*\))*\))", line)) for line in t.split("\n") if line.strip())
+        return sum(len(line.strip()) - sum(len(m[0]) for m in re.finditer(r"\](\((?:[^()\n]|\([^()\n]*\))*\))", line)) for line in t.split("\n") if line.strip())
 
     return _column([None if t is None else count(t) for t in text.to_pylist()], pa.int64())

@@ -132,7 +132,7 @@ def _holds(p: tuple, node: Node, is_last: bool) -> bool:
 
 
 def select(node: Node, steps: tuple) -> list:
-    """Nodes, or strings after an attribute or text step. ``last()`` counts within one context node."""
+    """Nodes, or strings after an attribute or text step. ``last()`` counts within one parent."""
     here: list = [node]
     for axis, test, predicates in steps:
         if axis == "text":
@@ -145,7 +145,8 @@ def select(node: Node, steps: tuple) -> list:
             pool = [n for n in pool if test == "*" or n.tag == test]
             for p in predicates:
                 last = _uses_last(p)
-                pool = [n for k, n in enumerate(pool) if _holds(p, n, last and k == len(pool) - 1)]
+                ends = {id(n.parent): n for n in pool} if last else {}  # the last one of each parent
+                pool = [n for n in pool if _holds(p, n, last and ends[id(n.parent)] is n)]
             for n in pool:
                 if id(n) not in seen:
                     seen.add(id(n))
