@@ -46,6 +46,7 @@ class Pieces:
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
         self.unknown = min(s for s in self.score.values() if s > -1e8) - 10
         self.longest = max(map(len, self.ids))
+        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.bytes_of = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.parts: dict[str, tuple] = {}
 
@@ -54,10 +55,13 @@ class Pieces:
         edges: list[list[tuple[int, float, str | None]]] = [[] for _ in range(len(part) + 1)]
         for i in range(len(part)):
             for j in range(i + 1, min(len(part), i + self.longest) + 1):
-                if (s := self.score.get(part[i:j])) is not None:
-                    edges[j].append((i, s, part[i:j]))
+                piece = part[i:j]
+                if (s := self.score.get(piece)) is not None:
+                    edges[j].append((i, s, piece))
                 elif j == i + 1:
                     edges[j].append((i, self.unknown, None))
+                if piece not in self.prefixes:
+                    break
         return edges
 
     def search(self, part: str, n: int) -> list[tuple[float, list[int], int]]:
