@@ -13,11 +13,10 @@ empty texts have no pieces and score 0; long parts are searched whole, only shor
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from functools import lru_cache
-from itertools import count
+from heapq import heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ _PART = re.compile(f"{MARK}*[^{MARK}]*")
 
 
 class Pieces:
-    def __init__(self, path: str, n: int = 2, known: int = 200_000, short: int = 48):
+    def __init__(self, path: str, n: int = 2, known: int = 150_000, short: int = 48):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -46,60 +45,78 @@ class Pieces:
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
         self.unknown = min(s for s in self.score.values() if s > -1e8) - 10
         self.longest = max(map(len, self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: piece to (score, id); a prefix of pieces that is none itself to ()
+        self.nodes: dict[str, tuple] = {p[:k]: () for p in self.ids for k in range(1, len(p) + 1)} | {p: (s, self.ids[p]) for p, s in self.score.items()}
         self.bytes_of = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.parts: dict[str, tuple] = {}
-
-    def lattice(self, part: str) -> list[list[tuple[int, float, str | None]]]:
-        """Edges (start, score, piece; None: unknown character) by end."""
-        edges: list[list[tuple[int, float, str | None]]] = [[] for _ in range(len(part) + 1)]
-        for i in range(len(part)):
-            for j in range(i + 1, min(len(part), i + self.longest) + 1):
-                piece = part[i:j]
-                if (s := self.score.get(piece)) is not None:
-                    edges[j].append((i, s, piece))
-                elif j == i + 1:
-                    edges[j].append((i, self.unknown, None))
-                if piece not in self.prefixes:
-                    break
-        return edges
+        self.older: dict[str, tuple] = {}
 
     def search(self, part: str, n: int) -> list[tuple[float, list[int], int]]:
-        """The ``n`` best (score, ids, unknown characters), best first; ties by fewer and then smaller ids."""
-        edges = self.lattice(part)
-        ahead = [0.0] * (len(part) + 1)
-        for j in range(1, len(part) + 1):
-            ahead[j] = max(ahead[i] + s for i, s, _ in edges[j])
-        order = count()
-        heap = [(-ahead[-1], 0, next(order), len(part), 0.0, None)]
-        out: list[tuple[float, list[int], int]] = []
+        """The ``n`` best (score, ids, unknown characters), best first; ties by fewer pieces.
+
+        ``edges`` holds the lattice by end, ``ahead`` the forward Viterbi score of each prefix.
+        """
+        length, nodes, longest = len(part), self.nodes, self.longest
+        edges: list[list[tuple[int, float, int]]] = [[] for _ in range(length + 1)]
+        ahead = [0.0] + [float("-inf")] * length
+        for i in range(length):
+            base = ahead[i]
+            for j in range(i + 1, min(length, i + longest) + 1):
+                node = nodes.get(part[i:j])
+                if not node and j == i + 1:
+                    node, goes_on = (self.unknown, -1), node is not None
+                elif node is None:
+                    break
+                else:
+                    goes_on = True
+                if node:
+                    edges[j].append((i, *node))
+                    if base + node[0] > ahead[j]:
+                        ahead[j] = base + node[0]
+                if not goes_on:
+                    break
+        heap, order, out = [(-ahead[-1], 0, 0, length, 0.0, None)], 0, []
         while heap and len(out) < n:
-            _, depth, _, at, behind, tail = heapq.heappop(heap)
-            if not at:
-                ids, unknown = [], 0
-                while tail:
-                    (start, end, piece), tail = tail
-                    if piece is None:
-                        unknown += 1
-                        ids.extend(self.byte_ids[b] for b in part[start:end].encode("utf-8", "replace"))
+            _, depth, _, at, behind, tail = heappop(heap)
+            while at:
+                # Follow the best way on at once, and put the others on the heap.
+                best, depth = None, depth + 1
+                for i, s, piece in edges[at]:
+                    total = behind + s
+                    cost = -(total + ahead[i])
+                    if best is None or cost < best[0]:
+                        if best is not None:
+                            heappush(heap, best)
+                        order += 1
+                        best = (cost, depth, order, i, total, (piece, i, at, tail))
                     else:
-                        ids.append(self.ids[piece])
-                out.append((behind, ids, unknown))
-                continue
-            for i, s, piece in edges[at]:
-                total = behind + s
-                heapq.heappush(heap, (-(total + ahead[i]), depth + 1, next(order), i, total, ((i, at, piece), tail)))
+                        order += 1
+                        heappush(heap, (cost, depth, order, i, total, (piece, i, at, tail)))
+                if heap and heap[0] < best:
+                    best = heapreplace(heap, best)
+                _, depth, _, at, behind, tail = best
+            ids, unknown = [], 0
+            while tail:
+                piece, start, end, tail = tail
+                if piece < 0:
+                    unknown += 1
+                    ids.extend(self.byte_ids[b] for b in part[start:end].encode("utf-8", "replace"))
+                else:
+                    ids.append(piece)
+            out.append((behind, ids, unknown))
         return out
 
     def of_part(self, part: str):
-        if (found := self.parts.get(part)) is None:
+        if (found := self.parts.get(part)) is not None:
+            return found
+        if (found := self.older.get(part)) is None:
             best = self.search(part, self.n)
             ids = np.array(best[0][1], dtype="<u4")
             found = (ids.tobytes(), len(ids), best[0][0], [best[0][0] - b[0] for b in best[1:]], best[0][2], self.raw(best[0][1]), best)
-            if len(part) <= self.short:
-                if len(self.parts) >= self.known:
-                    self.parts.clear()
-                self.parts[part] = found
+        if len(part) <= self.short and part not in self.parts:
+            if len(self.parts) >= self.known:  # what was used lately stays one round longer
+                self.older, self.parts = self.parts, {}
+            self.parts[part] = found
         return found
 
     def normal(self, text: str) -> str:
