@@ -261,6 +261,12 @@ def test_pieces(docs, none, rows):
     whole, best = model.search(model.normal(text), 3), model.nbest(text)
     assert [s for s, _ in best] == pytest.approx([s for s, *_ in whole])
     assert model.decode(best[0][1]) == text
+    two = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 2)
+    words = two.split(f"plain words, \n breaks\nÉté número 5 {chr(0x1F600)} 日本 {chr(0x378)}x %%% " + "long" * 20 + " " + " ".join((r["text"] or "") for r in docs.select("text").collect()))
+    two.search_all(words)
+    together = dict(two.parts)
+    two.parts = {}
+    assert len(together) > 10 and all(found[:6] == two.of_part(p)[:6] for p, found in together.items())
     got = pieces.encode(docs).collect()
     assert len(got) == len(rows) and all(r["round_trip"] for r in got)
     assert pieces.encode(none).count() == 0

@@ -9,12 +9,17 @@ N best of a text, none changes a part outside the N-1 with the smallest loss.
 Scores are the model file's (for this BPE model the negated merge ranks), added up over the pieces; a
 character without a piece costs ten less than the lowest ordinary score and becomes its bytes. Null and
 empty texts have no pieces and score 0; long parts are searched whole, only short ones are remembered.
+
+For one or two segmentations, short parts of characters with common pieces are searched together, one array
+cell each: the same forward scores, and the same search, which then follows the best hypothesis from the end
+to the start, where the best of those left behind is the second. Near ties are searched one by one.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 from heapq import heappop, heappush, heapreplace
 
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import prepare
 
 MARK = "▁"
+NONE = 0xFFFFFFFF  # stands for an unknown character until its bytes replace it
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, margin double, n_unknown long, decoded_crc32 long, round_trip boolean"
 _PART = re.compile(f"{MARK}*[^{MARK}]*")
 
@@ -48,9 +54,124 @@ class Pieces:
         #: piece to (score, id); a prefix of pieces that is none itself to ()
         self.nodes: dict[str, tuple] = {p[:k]: () for p in self.ids for k in range(1, len(p) + 1)} | {p: (s, self.ids[p]) for p, s in self.score.items()}
         self.bytes_of = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+        self.length = {i: len(p) for p, i in self.ids.items()}
+        self.tables()
         self.parts: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
+    def tables(self, classes: int = 256) -> None:
+        """The prefixes of pieces as arrays: ``go`` (node and character class to node; the last two are an unknown character and dead), ``worth`` and ``piece`` of each node.
+
+        Latin characters and the mark have a class first, then those that end most pieces; the last class is for characters in no piece.
+        """
+        number = {"": 0} | {p: k for k, p in enumerate(self.nodes, 1)}
+        unknown, dead = len(number), len(number) + 1
+        used = Counter(c for p in self.nodes for c in p[-1] if self.nodes.get(c) and ord(c) < 1 << 16)
+        of = {c: k for k, c in enumerate(sorted(used, key=lambda c: (ord(c) >= 0x250 and c != MARK, -used[c], c))[: classes - 1])}
+        self.class_of = np.full(1 << 16, classes - 1, dtype=np.int16)
+        self.class_of[[ord(c) for c in self.nodes if len(c) == 1 and ord(c) < 1 << 16]] = -1
+        self.class_of[[ord(c) for c in of]] = list(of.values())
+        self.go = np.full((dead + 1, classes), dead, dtype=np.int32)
+        edges = np.array([(number[p[:-1]], of[p[-1]], k) for p, k in number.items() if p and p[-1] in of], dtype=np.int64)
+        self.go[edges[:, 0], edges[:, 1]] = edges[:, 2]
+        self.go[0, classes - 1] = unknown
+        self.worth, self.piece = np.full(dead + 1, -np.inf), np.zeros(dead + 1, dtype="<u4")
+        for p, k in number.items():
+            if node := self.nodes.get(p):
+                self.worth[k], self.piece[k] = node
+        self.worth[unknown], self.piece[unknown] = self.unknown, NONE
+        self.dead = dead
+
+    def search_equal(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Parts of one length as rows of character classes: (score of the best, of the second or -inf, ids from the end, their number)."""
+        n, length = codes.shape
+        most, rows = min(length, self.longest), np.arange(n)
+        node = np.full((length + 1, most + 1, n), self.dead, dtype=np.int32)  # by end and piece length
+        ahead = np.full((length + 1, n), -np.inf)
+        ahead[0] = 0
+        for i in range(length):
+            alive, at = rows, np.zeros(n, dtype=np.int32)
+            for k in range(1, min(most, length - i) + 1):
+                at = self.go[at, codes[alive, i + k - 1]]
+                live = at != self.dead
+                alive, at = alive[live], at[live]
+                if not len(alive):
+                    break
+                node[i + k, k, alive] = at
+                ahead[i + k, alive] = np.maximum(ahead[i + k, alive], ahead[i, alive] + self.worth[at])
+        place, behind, second = np.full(n, length), np.zeros(n), np.full(n, -np.inf)
+        ids, count = np.zeros((n, length), dtype="<u4"), np.zeros(n, dtype=np.int64)
+        sizes = np.arange(1, most + 1)[:, None]
+        active = rows
+        while len(active):
+            here = place[active]
+            ways = node[here, sizes, active]
+            total = behind[active] + self.worth[ways]
+            cost = total + ahead[np.maximum(here - sizes, 0), active]
+            best, own = cost.argmax(axis=0), np.arange(len(active))
+            taken = ways[best, own]
+            behind[active] = total[best, own]
+            cost[best, own] = -np.inf
+            second[active] = np.maximum(second[active], cost.max(axis=0))
+            ids[active, count[active]] = self.piece[taken]
+            count[active] += 1
+            place[active] = here - best - 1
+            active = active[place[active] > 0]
+        return behind, second, ids, count
+
+    def search_all(self, parts: list[str], cells: int = 1 << 21) -> None:
+        """Find and remember the segmentations of those parts that can be searched together."""
+        if self.n > 2:
+            return
+        new = []
+        for part in dict.fromkeys(parts):
+            if part not in self.parts and len(part) <= self.short:
+                if (found := self.older.get(part)) is None:
+                    new.append(part)
+                else:
+                    self.keep(part, found)
+        new.sort(key=len)
+        points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = np.where(points < 1 << 16, self.class_of[np.minimum(points, (1 << 16) - 1)], -1)
+        lens = np.array([len(p) for p in new], dtype=np.int64)
+        first, at = np.searchsorted(lens, np.arange(self.short + 2)), 0
+        for length in range(1, self.short + 1):
+            lo, hi = int(first[length]), int(first[length + 1])
+            step = max(1, cells // (length * min(length, self.longest)))
+            for a in range(lo, hi, step):
+                b = min(a + step, hi)
+                own = codes[at : at + (b - a) * length].reshape(-1, length)
+                at += (b - a) * length
+                fit = np.flatnonzero((own >= 0).all(axis=1))
+                if not len(fit):
+                    continue
+                score, second, ids, count = self.search_equal(own[fit])
+                clear = score - second > 1e-6
+                most = dict(zip(fit.tolist(), ids.max(axis=1).tolist()))
+                for k, s, m, row, c, sure in zip((fit + a).tolist(), score.tolist(), (score - second).tolist(), ids, count.tolist(), clear.tolist()):
+                    if sure:
+                        row, strange = row[:c][::-1], 0
+                        if most[k - a] == NONE:
+                            row, strange = self.spell(new[k], row.tolist())
+                        self.keep(new[k], (row.tobytes(), len(row), s, [m] if self.n == 2 and m < np.inf else [], strange, self.raw(row.tolist()), None))
+
+    def spell(self, part: str, ids: list[int]) -> tuple[np.ndarray, int]:
+        """``ids`` with the bytes of unknown characters, and how many these are."""
+        out, at, strange = [], 0, 0
+        for i in ids:
+            if i == NONE:
+                out.extend(self.byte_ids[b] for b in part[at].encode("utf-8", "replace"))
+                at, strange = at + 1, strange + 1
+            else:
+                out.append(i)
+                at += self.length[i]
+        return np.array(out, dtype="<u4"), strange
+
+    def keep(self, part: str, found: tuple) -> None:
+        if len(self.parts) >= self.known:  # what was used lately stays one round longer
+            self.older, self.parts = self.parts, {}
+        self.parts[part] = found
+
     def search(self, part: str, n: int) -> list[tuple[float, list[int], int]]:
         """The ``n`` best (score, ids, unknown characters), best first; ties by fewer pieces.
 
@@ -113,10 +234,8 @@ class Pieces:
             best = self.search(part, self.n)
             ids = np.array(best[0][1], dtype="<u4")
             found = (ids.tobytes(), len(ids), best[0][0], [best[0][0] - b[0] for b in best[1:]], best[0][2], self.raw(best[0][1]), best)
-        if len(part) <= self.short and part not in self.parts:
-            if len(self.parts) >= self.known:  # what was used lately stays one round longer
-                self.older, self.parts = self.parts, {}
-            self.parts[part] = found
+        if len(part) <= self.short:
+            self.keep(part, found)
         return found
 
     def normal(self, text: str) -> str:
@@ -125,6 +244,18 @@ class Pieces:
     def split(self, text: str) -> list[str]:
         return [p for p in _PART.findall(self.normal(text)) if p]
 
+    def split_all(self, texts: list[str | None], together: int = 150_000):
+        """The parts of each text; those of several texts are searched together first."""
+        held: list[list[str]] = []
+        n = 0
+        for k, text in enumerate(texts, 1):
+            held.append(self.split(text or ""))
+            n += len(held[-1])
+            if n >= together or k == len(texts):
+                self.search_all([p for parts in held for p in parts])
+                yield from held
+                held, n = [], 0
+
     def raw(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -134,13 +265,14 @@ class Pieces:
 
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best (score, ids) of a whole text."""
-        found = [self.of_part(p) for p in self.split(text)]
+        parts = self.split(text)
+        found = [self.of_part(p) for p in parts]
         base = sum(f[2] for f in found)
         loose = sorted((f[3][0], k) for k, f in enumerate(found) if f[3])[: self.n - 1]
         combos: list[tuple[float, dict[int, int]]] = [(0.0, {})]
         for _, k in loose:
             combos = sorted(((loss + d, at | {k: r}) for loss, at in combos for r, d in enumerate([0.0, *found[k][3]])), key=lambda c: c[0])[: self.n]
-        return [(base - loss, [i for k, f in enumerate(found) for i in f[6][at.get(k, 0)][1]]) for loss, at in combos]
+        return [(base - loss, [i for k, f in enumerate(found) for i in (f[6] or self.search(parts[k], self.n))[at.get(k, 0)][1]]) for loss, at in combos]
 
 
 @lru_cache(maxsize=2)
@@ -161,8 +293,9 @@ def encode(docs: DataFrame, model: str | None = None, n: int = 2) -> DataFrame:
         mark = MARK.encode()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [pieces.of_part(p) for p in pieces.split(text or "")]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc_id, text, parts in zip(ids, texts, pieces.split_all(texts)):
+                found = [pieces.of_part(p) for p in parts]
                 margin = min((f[3][0] for f in found if f[3]), default=None)
                 # The bytes of a mark in the text and of a blank's mark decode alike, as the model defines it.
                 raw = b"".join([f[5] for f in found]).replace(mark, b" ")
