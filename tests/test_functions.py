@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions import hosts as H
 from weftline.functions import markdown as M
 from weftline.functions import text as T
 from weftline.functions import urls as U
@@ -39,6 +40,19 @@ def test_urls(spark):
     assert column(spark, ["https://github.com/o/r/blob/main/a.md"], U.github_raw) == ["https://raw.githubusercontent.com/o/r/main/a.md"]
 
 
+def test_hosts(spark):
+    given = ["EXAMPLE.com.", "münchen.de", "https://x.com", "x.com:443", "", None, "0x7f.0.0.1", "8.8.8.8.", "256.1.1.1", "001.002.003.004", "1.2.3", "2130706433", "[2001:DB8:0:0:0::1]", "[::1", "-a.org", "a" * 64 + ".org", "a_b.org"]
+    want = ["example.com", "xn--mnchen-3ya.de", None, None, None, None, None, "8.8.8.8", None, None, None, None, "2001:db8::1", None, None, None, None]
+    assert column(spark, given, H.normalize_domain) == want
+    assert column(spark, ["1:0:0:2:0:0:0:3", "1:2:3:4:5:6:7::", "0:1:0:2:0:3:0:4", "1::2::3", "1:2:3", "::ffff:1.2.3.4"], H.compress_ipv6) == ["1:0:0:2::3", "1:2:3:4:5:6:7:0", "0:1:0:2:0:3:0:4", None, None, None]
+    public = ["8.8.8.8", "2606:4700:4700::1111", "2001:4860:4860::8888", "2001:1::3", "fe00::1"]
+    private = ["127.0.0.1", "::", "::1", "::ffff:8.8.8.8", "0:0:0:0:0:ffff:7f00:1", "fe80::1%eth0", "fe80::1", "fc00::1", "fd12::1", "ff02::1", "2001:1::1", "2001:2::1", "2001:db8::1", "64:ff9b::1", "2002::1", "2001::1", "x", ""]
+    assert column(spark, [*public, *private, None], H.is_public_ip) == [True] * len(public) + [False] * (len(private) + 1)
+    assert column(spark, ["[::1]", "::1", "a"], H.strip_brackets) == ["::1", "::1", "a"]
+    verdicts = column(spark, ["http://[2606:4700::1]:80/", "http://münchen.de/", "http://-a.org/"], lambda c: U.check_access(c, [], [], H.normalize_domain(U.host(c))), "string")
+    assert [(v["allowed"], v["host"]) for v in verdicts] == [(True, "2606:4700::1"), (True, "xn--mnchen-3ya.de"), (False, "-a.org")]
+
+
 def test_text(spark):
     assert [T.normal_text(x) for x in ("  <b>Hello</b>   &amp;   world  ", "café", "line​break", "a\0b\x1fc")] == ["Hello & world", "café", "linebreak", "abc"]
     assert column(spark, ["&notit; &notin; &ampx &#128; &#0; &nosuch;"], T.decode_entities) == ["¬it; ∉ &x € � &nosuch;"]

@@ -85,9 +85,14 @@ def host_suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def check_access(url: Column, allowed: list[str], blocked: list[str]) -> Column:
-    """Struct (allowed, reason, host); the first failing check gives the reason."""
-    name, authority = host(url), part(url, 2)
+def check_access(url: Column, allowed: list[str], blocked: list[str], name: Column | None = None) -> Column:
+    """Struct (allowed, reason, host); the first failing check gives the reason.
+
+    ``name``: the host by ``hosts.normalize_domain``, for international names and IPv6; without it ASCII names pass only.
+    """
+    given, authority = host(url), part(url, 2)
+    valid = given.rlike(r"^[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?(\.[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?)*\.?$") if name is None else name.isNotNull()
+    name = given if name is None else F.coalesce(name, given)
     port = F.regexp_extract(authority, r":([0-9]*)$", 1)
     reason = (
         F.when(F.trim(url) == "", F.lit("empty URL"))
@@ -97,7 +102,7 @@ def check_access(url: Column, allowed: list[str], blocked: list[str]) -> Column:
         .when(authority.contains("@") | authority.contains("%"), F.lit("credentials or escapes in host"))
         .when(name == "", F.lit("empty host"))
         .when((port != "") & ~F.coalesce(port.try_cast("int").between(1, 65535), F.lit(False)), F.lit("port out of range"))
-        .when(~name.rlike(r"^[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?(\.[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?)*\.?$"), F.lit("invalid host"))
+        .when(~valid, F.lit("invalid host"))
         .when(~policy_allows(name, allowed, blocked), F.lit("blocked by website policy"))
     )
     return F.struct(reason.isNull().alias("allowed"), F.coalesce(reason, F.lit("")).alias("reason"), name.alias("host"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import hosts as H
 from weftline.functions import markdown as M
 from weftline.functions import text as T
 from weftline.functions import urls as U
@@ -97,6 +98,20 @@ def policy_check(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.check_access(F.col("url"), ALLOWED, BLOCKED).alias("v")).select("page_id", "v.*")
 
 
+@query(f"""select page_id, case when len(name) <= 253 and not regexp_full_match(name, '[0-9.]+') and regexp_full_match(name, '[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?([.][a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?)*') then name end as domain
+    from (select page_id, rtrim(lower(trim({HOST})), '.') as name from pages)""")
+def domain_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.normalize_domain(U.host(F.col("url"))).alias("domain"))
+
+
+@query(f"""select o_orderkey, short, not regexp_matches(short, '{H.NON_PUBLIC_V6}') as public
+    from (select o_orderkey, '2001:' || lower(hex(o_orderkey % 4096 + 1)) || '::' || lower(hex(o_orderkey % 65535 + 1)) as short from orders)""")
+def ip_public_v6(spark, sf_dir):
+    key = F.col("o_orderkey")
+    ip = F.concat(F.lit("2001:"), F.lpad(F.hex(key % 4096 + 1), 4, "0"), F.lit(":0:0:0:0:0:"), F.hex(key % 65535 + 1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", H.compress_ipv6(ip).alias("short"), H.is_public_ip(ip).alias("public"))
+
+
 def _suffix_join(spark, sf_dir, domains, how):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     policy = spark.createDataFrame([(d,) for d in domains], "domain string")
