@@ -53,6 +53,28 @@ def test_hosts(spark):
     assert [(v["allowed"], v["host"]) for v in verdicts] == [(True, "2606:4700::1"), (True, "xn--mnchen-3ya.de"), (False, "-a.org")]
 
 
+def test_bodies(spark):
+    import gzip
+
+    plain = b"some words of a page " * 9000
+    packed, bare = gzip.compress(plain), zlib.compress(plain)
+    assert [T.decompress_bytes(*a) for a in ((packed, "gzip"), (bare, "Deflate"), (bare[2:-4], "deflate"), (plain, None), (b"", "gzip"), (packed + gzip.compress(b"end"), "x-gzip"))] == [plain, plain, plain, plain, b"", plain + b"end"]
+    assert T.decompress_bytes(packed, "br") is None and T.decompress_bytes(b"no gzip", "gzip") is None and T.decompress_bytes(None, "gzip") is None
+    noise = gzip.compress(bytes(i * i % 251 for i in range(400_000)), 1)
+    cut = T.decompress_bytes(noise[: len(noise) // 2], "gzip")
+    assert cut and bytes(i * i % 251 for i in range(400_000)).startswith(cut)
+    assert T.decompress_bytes(packed, "gzip", 1000) == plain[:1000]
+    page = b"<html><title>T</title><body><p>" + b"words to read " * 30 + b"</p></body></html>"
+    rows = [("http://a.org/1", 200, "text/html", gzip.compress(page), "gzip"), ("http://a.org/2", 200, "text/html", b"junk", "gzip"), ("http://a.org/3", 200, "text/html", page, None)]
+    read = {r["url"][-1]: (r["error"], r["title"]) for r in fetch.read_pages(spark.createDataFrame(rows, "url string, status int, content_type string, body binary, content_encoding string")).collect()}
+    assert read == {"1": (None, "T"), "2": ("unreadable body", ""), "3": (None, "T")}
+    assert column(spark, ["<NOSCRIPT x><p>a &amp;\n b</p></noscript>c<noscript>d</noscript>", "none", None], T.noscript_text) == ["a & b d", "", None]
+    assert column(spark, [404, 799], fetch.status_message, "int") == ["Failed to fetch URL: HTTP 404 Not Found", "Failed to fetch URL: HTTP 799"]
+    assert "from 1970-01-02 " in column(spark, [86_400_000], cache.stale_notice, "long")[0]
+    found = spark.createDataFrame([("a", "2606:4700::1", 6, 0), ("a", "8.8.8.8", 4, 1), ("b", "8.8.8.8", 4, 0), ("b", "::1", 6, 1), ("c", "2606:4700::2", 6, 0)], "host string, ip string, family int, ord int")
+    assert {r["host"]: (r["public"], r["ip"]) for r in fetch.host_verdicts(found).collect()} == {"a": (True, "8.8.8.8"), "b": (False, "8.8.8.8"), "c": (True, "2606:4700::2")}
+
+
 def test_text(spark):
     assert [T.normal_text(x) for x in ("  <b>Hello</b>   &amp;   world  ", "café", "line​break", "a\0b\x1fc")] == ["Hello & world", "café", "linebreak", "abc"]
     assert column(spark, ["&notit; &notin; &ampx &#128; &#0; &nosuch;"], T.decode_entities) == ["¬it; ∉ &x € � &nosuch;"]

@@ -5,11 +5,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import BinaryType, LongType, StringType
 
 # White space of ECMAScript, boilerplate sentences, magic numbers, binary subtypes, markers.
 SPACE = r"[\t\n\x0b\f\r    -     　﻿]+"
@@ -130,3 +131,48 @@ def visible_chars(text: pa.Array) -> pa.Array:
         return sum(len(line.strip()) - sum(len(m[0]) for m in re.finditer(r"\](\((?:[^()\n]|\([^()\n]*\))*\))", line)) for line in t.split("\n") if line.strip())
 
     return _column([None if t is None else count(t) for t in text.to_pylist()], pa.int64())
+
+
+INFLATED_CAP = 64 << 20
+_STEP = 1 << 16
+
+
+def _inflate(body: bytes, wbits: int, most: int) -> bytes | None:
+    """What can be read up to the first error or ``most`` bytes, members of gzip in a row; null if nothing can."""
+    out, rest = bytearray(), body
+    while rest and len(out) < most:
+        stream, at = zlib.decompressobj(wbits), 0
+        try:
+            while at < len(rest) and not stream.eof and len(out) < most:
+                out += stream.decompress(rest[at : at + _STEP], most - len(out))
+                at += _STEP
+                while stream.unconsumed_tail and len(out) < most:
+                    out += stream.decompress(stream.unconsumed_tail, most - len(out))
+        except zlib.error:
+            break
+        rest = stream.unused_data + rest[at:] if stream.eof and wbits > 15 else b""
+    return bytes(out) if out or not body else None
+
+
+def decompress_bytes(body: bytes | None, encoding: str | None, most: int = INFLATED_CAP) -> bytes | None:
+    """A body without its content coding (gzip, deflate with or without its header); null where the coding is unknown or nothing can be read."""
+    coding = (encoding or "").strip().lower()
+    if body is None or coding in ("", "identity"):
+        return body
+    if coding in ("gzip", "x-gzip"):
+        return _inflate(body, 31, most)
+    if coding == "deflate":
+        found = _inflate(body, 15, most)
+        return _inflate(body, -15, most) if found is None else found
+    return None
+
+
+@F.arrow_udf(BinaryType())
+def decompress(body: pa.Array, encoding: pa.Array) -> pa.Array:
+    return _column([decompress_bytes(b, e) for b, e in zip(body.to_pylist(), encoding.to_pylist())], pa.binary())
+
+
+def noscript_text(page: Column) -> Column:
+    """The text inside ``noscript`` elements, one after the other."""
+    found = F.regexp_extract_all(page, F.lit(r"(?is)<noscript\b[^>]*>.*?</noscript>"), F.lit(0))
+    return collapse_whitespace(decode_entities(F.regexp_replace(F.array_join(found, " "), "<[^>]*>", " ")))

@@ -12,6 +12,12 @@ def is_fresh(ts_ms: Column, now_ms: int) -> Column:
     return F.lit(now_ms) - ts_ms < TTL_MS
 
 
+def stale_notice(ts_ms: Column) -> Column:
+    """The line below a text that an old entry gave, with the entry's day in UTC."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ts_ms / 86_400_000).cast("int"))
+    return F.concat(F.lit("\n\n*STALE cache from "), day.cast("string"), F.lit(" — network fetch failed, serving cached copy*"))
+
+
 def prune(cache: DataFrame, now_ms: int, entries: int = ENTRIES, size: int = BYTES) -> DataFrame:
     """The newest entries, younger than the stale limit, within both caps. Only rows that can survive the count are ranked: a top-k first keeps the one-partition window small."""
     alive = cache.where(F.lit(now_ms) - F.col("ts_ms") < STALE_MS).orderBy(F.desc("ts_ms"), "key").limit(entries)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from http.client import responses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.functions.hosts import is_public_ip
 from weftline.functions.markdown import page_struct, render_hint
 from weftline.functions.urls import check_access
 
@@ -30,12 +33,16 @@ def triage(status: Column, location: Column) -> Column:
     )
 
 
+def status_message(status: Column) -> Column:
+    """What a reader is told of a failed status: its number and standard reason."""
+    reasons = F.create_map(*[F.lit(x) for pair in responses.items() for x in (int(pair[0]), " " + pair[1])])
+    return F.concat(F.lit("Failed to fetch URL: HTTP "), status.cast("string"), F.coalesce(F.try_element_at(reasons, status.cast("int")), F.lit("")))
+
+
 def host_verdicts(resolved: DataFrame) -> DataFrame:
     """``resolved`` (host, ip, family, ord): one private address rejects a host; the first IPv4 address is used, else the first."""
-    from weftline.functions.urls import is_public_ipv4
-
-    public = F.when(F.col("family") == 4, is_public_ipv4(F.col("ip"))).otherwise(F.lit(False))
-    return resolved.groupBy("host").agg(F.bool_and(public).alias("public"), F.min_by("ip", F.struct(F.col("family") != 4, F.col("ord"))).alias("ip"))
+    judged = resolved.withColumn("_public", is_public_ip(F.col("ip")))
+    return judged.groupBy("host").agg(F.bool_and("_public").alias("public"), F.min_by("ip", F.struct(F.col("family") != 4, F.col("ord"))).alias("ip"))
 
 
 def interstitial(text: Column) -> Column:
@@ -44,16 +51,21 @@ def interstitial(text: Column) -> Column:
 
 
 def read_pages(raw: DataFrame, allowed: list[str] | None = None, blocked: list[str] | None = None, most: int = 20_000) -> DataFrame:
-    """``raw`` (url, status, content_type, body) to url, error, title, author, date, site, description, text, hint.
+    """``raw`` (url, status, content_type, body and, where bodies are still compressed, content_encoding) to url, error, title, author, date, site, description, text, hint.
 
     Checks go in this order: access, status, PDF or other binary content, type, then the text itself.
     """
     access = check_access(F.col("url"), allowed or [], blocked or [])
+    if "content_encoding" in raw.columns:
+        raw = raw.withColumn("_packed", F.col("body")).withColumn("body", T.decompress("body", "content_encoding"))
+    else:
+        raw = raw.withColumn("_packed", F.col("body"))
     capped = raw.withColumn("access", access).withColumn("body", F.substring("body", 1, TEXT_CAP))
     checked = capped.withColumn(
         "error",
         F.when(~F.col("access.allowed"), F.concat(F.lit("Blocked: "), F.col("access.reason")))
         .when(F.col("status") >= 300, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+        .when(F.col("_packed").isNotNull() & F.col("body").isNull(), F.lit("unreadable body"))
         .when(T.magic_of(F.col("body")).isNotNull(), F.lit("binary content"))
         .when(~T.is_text_type(F.col("content_type")), F.lit("unsupported content type")),
     )
