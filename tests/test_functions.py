@@ -53,6 +53,19 @@ def test_hosts(spark):
     assert [(v["allowed"], v["host"]) for v in verdicts] == [(True, "2606:4700::1"), (True, "xn--mnchen-3ya.de"), (False, "-a.org")]
 
 
+def test_policies(spark):
+    assert H.policy_domains(["A.com", "a.com.", "münchen.de"]) == ["a.com", "xn--mnchen-3ya.de"] and H.policy_domains(None) == []
+    assert H.policy_domains(["https://a.com"]) is None and H.policy_domains([f"d{i}.org" for i in range(101)]) is None and H.policy_domains([7]) is None
+    assert H.policy_prompt(None, []) == "" and [d in H.policy_prompt(["a.com"], ["b.com"]) for d in ("a.com", "b.com")] == [True, True]
+    with pytest.raises(ValueError):
+        H.policy_prompt(["a b.com/"], [])
+    raw = spark.createDataFrame([(u, 200, "text/plain", b"some text") for u in ("http://www.münchen.de/", "http://a.org/", "http://a_b.org/")], "url string, status int, content_type string, body binary")
+    errors = lambda *policy: [r["error"] for r in fetch.read_pages(raw, *policy).orderBy(F.desc("url")).collect()]
+    assert errors() == [None, "Blocked: invalid host", None]
+    assert errors(["München.de"], []) == [None, "Blocked: invalid host", "Blocked: blocked by website policy"]
+    assert errors([], ["http://x"]) == ["Blocked: blocked by website policy"] * 3
+
+
 def test_bodies(spark):
     import gzip
 

@@ -60,6 +60,28 @@ def plain_domain(value: str | None) -> str | None:
     return name if len(name) <= 253 and _LABELS.fullmatch(name) else None
 
 
+def policy_domains(domains: list[str] | None, most: int = 100) -> list[str] | None:
+    """A policy's list in normal form, each domain once; null if it is too long or holds what can't be a domain."""
+    given = domains or []
+    found = [plain_domain(d) if isinstance(d, str) else None for d in given]
+    return None if len(given) > most or None in found else list(dict.fromkeys(found))
+
+
+def policy_prompt(allowed: list[str] | None, blocked: list[str] | None) -> str:
+    """What a model is told of a policy; empty without limits. A policy that isn't valid raises ``ValueError``."""
+    allowed, blocked = policy_domains(allowed), policy_domains(blocked)
+    if allowed is None or blocked is None:
+        raise ValueError("invalid website policy")
+    # The wording of the prompt.
+    lines = [
+        "Website access limits are enforced by the application.",
+        f"Only search or fetch these domains and their subdomains: {', '.join(allowed)}. Do not propose, cite, or attempt any other website." if allowed else "",
+        f"Never search or fetch these domains or their subdomains: {', '.join(blocked)}." if blocked else "",
+        "Blocked search results are unavailable; do not try to work around these limits.",
+    ]
+    return "\n".join(filter(None, lines)) if allowed or blocked else ""
+
+
 def _each(values: pa.Array, f) -> pa.Array:
     return pa.array([None if v is None else f(v) for v in values.to_pylist()], pa.string())
 

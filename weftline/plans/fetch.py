@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.functions.hosts import is_public_ip
+from weftline.functions.hosts import is_public_ip, normalize_domain, policy_domains
 from weftline.functions.markdown import page_struct, render_hint
-from weftline.functions.urls import check_access
+from weftline.functions.urls import check_access, host
 
 TEXT_CAP = 512 << 10
 REDIRECTS = [301, 302, 303, 307, 308]
@@ -55,11 +55,15 @@ def read_pages(raw: DataFrame, allowed: list[str] | None = None, blocked: list[s
 
     Checks go in this order: access, status, PDF or other binary content, type, then the text itself.
     """
-    access = check_access(F.col("url"), allowed or [], blocked or [])
+    only, never = policy_domains(allowed), policy_domains(blocked)
+    access = check_access(F.col("url"), only or [], never or [], F.col("_host"))
+    if only is None or never is None:  # a policy that isn't valid lets nothing through
+        access = F.struct(F.lit(False).alias("allowed"), F.lit("blocked by website policy").alias("reason"), F.col("_host").alias("host"))
     if "content_encoding" in raw.columns:
         raw = raw.withColumn("_packed", F.col("body")).withColumn("body", T.decompress("body", "content_encoding"))
     else:
         raw = raw.withColumn("_packed", F.col("body"))
+    raw = raw.withColumn("_host", normalize_domain(host(F.col("url"))))
     capped = raw.withColumn("access", access).withColumn("body", F.substring("body", 1, TEXT_CAP))
     checked = capped.withColumn(
         "error",
