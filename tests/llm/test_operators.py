@@ -134,6 +134,25 @@ def test_ngram_join_splits_large_groups(spark):
         assert got[i]["n_links"] == sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(90) if j != i)
 
 
+def test_ngram_join_finds_pairs_in_large_leaves(spark):
+    rng = random.Random(2)
+    shared, texts = words(rng, 128), []
+    for _ in range(250):
+        own = [f"w{rng.randrange(1 << 40)}" for _ in range(160)]
+        texts.append(" ".join([shared, *own]))
+        for at in range(5, 160, 26):
+            own[at] = "changed"
+        texts.append(" ".join([shared, *own]))
+    sets = [set(s.tolist()) for s in ngram_join.shingles(texts)]
+    assert all(5 * len(a & b) >= 4 * len(a | b) for a, b in zip(sets[::2], sets[1::2])) and 5 * len(sets[0] & sets[2]) < 4 * len(sets[0] | sets[2])
+    got = ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), depth=1, limit=4).select("doc_id", "class_id", "n_links").collect()
+    assert as_sorted(got) == as_sorted([(i, i - i % 2, 1) for i in range(500)])
+
+
+def test_ngram_runs_count_the_shared_signature():
+    assert ngram_join.runs_needed(0.8, 3, 0.9999) == 12
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40)], "a long, b long")
     assert {(r["node"], r["label"]) for r in components(edges).collect()} == {(i, 0) for i in range(21)} | {(30, 30), (31, 30)}

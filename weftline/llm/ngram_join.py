@@ -3,8 +3,8 @@
 A set follows paths: at a path's node the node's hash draws one or two (1/threshold in the mean) min-wise
 samples, and the set goes on to the child of each sampled token, so two sets stay together in a node with
 their similarity, and sets of that similarity meet at a leaf with a chance that falls only with the
-depth. Runs repeat until the target recall. Leaves are compared by brute force on the signatures; leaves
-above ``limit`` are split on by further tokens, and one that ten levels can't split joins as a whole.
+depth. Runs repeat until the target recall. Leaves are compared by brute force on the signatures, leaves
+above ``limit`` block by block (every block with each other), so none of a leaf's pairs is left out.
 What is similar by signature, with a margin of six standard errors, forms clusters; within clusters the
 5-gram sets themselves are compared, large clusters block by block, so every link is exact.
 
@@ -98,12 +98,16 @@ def follow(path: np.ndarray, sig: np.ndarray, row: np.ndarray, threshold: float)
 
 
 def runs_needed(threshold: float, depth: int, recall: float) -> int:
-    meet = 1.0
-    two = 1 / threshold - 1
+    """Runs until a pair at the threshold meets with ``recall``; they share one signature, so the miss is averaged over how much of it agrees."""
+    agree = np.arange(N_HASH + 1) / N_HASH
+    chance = np.array([math.comb(N_HASH, m) * threshold**m * (1 - threshold) ** (N_HASH - m) for m in range(N_HASH + 1)])
+    meet, two, runs = np.ones(N_HASH + 1), 1 / threshold - 1, 1
     for _ in range(depth):
-        c = threshold * meet
+        c = agree * meet
         meet = (1 - two) * c + two * (1 - (1 - c) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    while chance @ (1 - meet) ** runs > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _batch(names, kinds, columns) -> pa.RecordBatch:
@@ -126,8 +130,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _paths(rows: DataFrame, depth: int, runs: int, threshold: float) -> DataFrame:
-    """(skey, sig) to (path, skey); with a column ``path`` on entry these are followed on, else ``runs`` roots."""
-    onward = "path" in rows.columns
+    """(skey, sig) to (path, skey) at the end of ``runs`` roots' paths."""
 
     def run(batches):
         for batch in batches:
@@ -136,10 +139,7 @@ def _paths(rows: DataFrame, depth: int, runs: int, threshold: float) -> DataFram
                 continue
             keys = batch.column(0)
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(n, N_HASH)
-            if onward:
-                path, row = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.arange(n)
-            else:
-                path, row = np.repeat(_mix(np.arange(1, runs + 1, dtype=np.uint64)), n), np.tile(np.arange(n), runs)
+            path, row = np.repeat(_mix(np.arange(1, runs + 1, dtype=np.uint64)), n), np.tile(np.arange(n), runs)
             for _ in range(depth):
                 path, row = follow(path, sig, row, threshold)
             for lo in range(0, len(row), 1 << 16):
@@ -208,7 +208,8 @@ def _leaf_edges(rows: DataFrame, least: float) -> DataFrame:
                         b.append(keys[s + root])
             yield _batch(["a", "b"], [pa.binary()] * 2, [a, b])
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a binary, b binary")
+    # in order of keys, so that the leaves of a large group take the same few roots
+    return rows.repartition("path").sortWithinPartitions("path", "skey").mapInArrow(run, "a binary, b binary")
 
 
 def _compare(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold: tuple[int, int]) -> np.ndarray:
@@ -296,21 +297,11 @@ def join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), depth: int = 3, r
         return materialize(paths.join(of, "path"), "ngram-leaves")
 
     found = met(_paths(nodes.select("skey", "sig"), depth, runs_needed(t, depth, recall), t))
-    edges = None
-    signed = nodes.select("skey", "sig")
-    for level in range(10):
-        here = _leaf_edges(found.where(F.col("n") <= limit).join(signed, "skey").select("path", "skey", "sig"), least)
-        edges = here if edges is None else edges.union(here)
-        large = found.where(F.col("n") > limit)
-        if not large.limit(1).count():
-            large = None
-            break
-        if level == 9:
-            break
-        found = met(_paths(large.join(signed, "skey").select("skey", "sig", "path"), 1, 0, t))
-    if large is not None:
-        root = large.groupBy("path").agg(F.min("skey").alias("b"))
-        edges = edges.union(large.join(root, "path").select(F.col("skey").alias("a"), "b"))
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    large = found.where(F.col("n") > limit).withColumn("own", F.pmod(F.xxhash64("skey"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pair = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))  # should two tasks collide, more is compared, not less
+    tasks = found.where(F.col("n") <= limit).select("path", "skey").union(large.where("own <> other").select(pair.alias("path"), "skey"))
+    edges = _leaf_edges(tasks.join(nodes.select("skey", "sig"), "skey").select("path", "skey", "sig"), least)
     clusters = components(edges, "ngram-clusters").withColumnRenamed("node", "skey")
 
     member = clusters.join(nodes.drop("sig"), "skey")
