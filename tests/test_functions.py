@@ -12,7 +12,7 @@ from weftline.functions import urls as U
 from weftline.functions.html_tree import parse
 from weftline.functions.xpath import compile_path, select, text_of
 from weftline.operators import cache, evaluate, fusion, layout
-from weftline.plans import fetch
+from weftline.plans import catalog, fetch
 from weftline.sources import pdf_text, serp
 from weftline.streaming import windowed_counts
 
@@ -219,6 +219,14 @@ def test_fetch(spark):
     assert done["text"] == "rendered" and done["error"] is None
 
 
+def test_page_fetch_returns_whole_texts(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(5000))
+    spark.createDataFrame([("https://a.org/", f"<!doctype html><html><p>{text}")], "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(text) > 20_000 and catalog.page_fetch(spark, str(tmp_path)).first()["text"] == text
+    raw = spark.createDataFrame([("https://a.org/", 200, "text/plain", text.encode())], "url string, status int, content_type string, body binary")
+    assert fetch.read_pages(raw, most=10).first()["text"] == text[:10] + f"... (truncated, {len(text)} chars total)"
+
+
 def test_pdf(spark):
     stream = zlib.compress(b"BT (Hello \\(you\\)) Tj T* [(Wor) -300 (ld)] TJ <414243> Tj ET")
     pdf = b"%PDF-1.4 1 0 obj << /Length 1 /Filter /FlateDecode >> stream\n" + stream + b"\nendstream"

@@ -23,9 +23,12 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
-def truncate_text(text: Column, most: int) -> Column:
+def truncate_text(text: Column, most: int | None) -> Column:
+    shown = F.when(F.coalesce(text, F.lit("")) == "", F.lit(NO_CONTENT))
+    if not most:
+        return shown.otherwise(text)
     cut = F.concat(F.substring(text, 1, most), F.lit("... (truncated, "), F.char_length(text).cast("string"), F.lit(" chars total)"))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(NO_CONTENT)).when(F.char_length(text) > most, cut).otherwise(text)
+    return shown.when(F.char_length(text) > most, cut).otherwise(text)
 
 
 def looks_binary(text: Column) -> Column:

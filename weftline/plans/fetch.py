@@ -50,10 +50,10 @@ def interstitial(text: Column) -> Column:
     return (F.char_length(text) <= 4000) & F.exists(F.array(*map(F.lit, INTERSTITIAL)), lambda m: F.contains(low, m))
 
 
-def read_pages(raw: DataFrame, allowed: list[str] | None = None, blocked: list[str] | None = None, most: int = 20_000) -> DataFrame:
+def read_pages(raw: DataFrame, allowed: list[str] | None = None, blocked: list[str] | None = None, most: int | None = None) -> DataFrame:
     """``raw`` (url, status, content_type, body and, where bodies are still compressed, content_encoding) to url, error, title, author, date, site, description, text, hint.
 
-    Checks go in this order: access, status, PDF or other binary content, type, then the text itself.
+    Checks go in this order: access, status, PDF or other binary content, type, then the text itself, whole unless ``most`` limits it.
     """
     only, never = policy_domains(allowed), policy_domains(blocked)
     access = check_access(F.col("url"), only or [], never or [], F.col("_host"))
