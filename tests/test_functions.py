@@ -227,6 +227,13 @@ def test_page_fetch_returns_whole_texts(spark, tmp_path):
     assert fetch.read_pages(raw, most=10).first()["text"] == text[:10] + f"... (truncated, {len(text)} chars total)"
 
 
+def test_boilerplate_lines_follow_the_operator(spark, tmp_path):
+    docs = [(1, "Skip to content\ntext\n```\nread more\n```\n**Read more!**\nWe use cookies. Back to top."), (2, "licensed under the MIT license"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in catalog.boilerplate_lines(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(1, "**Read more!**"), (1, "Skip to content"), (1, "We use cookies. Back to top.")]
+
+
 def test_pdf(spark):
     stream = zlib.compress(b"BT (Hello \\(you\\)) Tj T* [(Wor) -300 (ld)] TJ <414243> Tj ET")
     pdf = b"%PDF-1.4 1 0 obj << /Length 1 /Filter /FlateDecode >> stream\n" + stream + b"\nendstream"

@@ -6,7 +6,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from weftline.functions.html_tree import Node, parse
 
@@ -190,6 +190,12 @@ def is_boilerplate(line: str) -> bool:
     return bool(parts) and all(p in BOILERPLATE for p in parts)
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def boilerplate_lines(text: pa.Array) -> pa.Array:
+    """The lines that ``strip_boilerplate`` takes out."""
+    return pa.array([None if t is None else [line for line, fenced in _fenced(t.split("\n")) if not fenced and is_boilerplate(line)] for t in text.to_pylist()], pa.list_(pa.string()))
+
+
 def strip_boilerplate(markdown: str) -> str:
     kept: list[str] = []
     for line, fenced in _fenced(markdown.split("\n")):

@@ -367,15 +367,14 @@ def nearest_column(spark, sf_dir):
     return layout.nearest_column(table(spark, sf_dir, "part"), "p_retailprice", [900.0, 1200.0, 1600.0]).select("p_partkey", "centre")
 
 
+# Of the SQL only, which knows neither the other phrases nor fences; the operator and it agree at sf0.001 and sf0.01.
 _PHRASES = ["licensed under the mit license", "all rights reserved", "read more"]
 
 
 @query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), s as (select doc_id, line, list_filter(list_transform(regexp_split_to_array(line, '[.!]'), lambda x: lower(trim(x))), lambda x: x <> '') as parts from l where length(line) <= 300)
 select doc_id, line from s where len(parts) > 0 and len(list_filter(parts, lambda x: x not in ({", ".join(map(repr, _PHRASES))}))) = 0""")
 def boilerplate_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") <= 300)
-    parts = F.filter(F.transform(F.split("line", "[.!]"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    return lines.withColumn("parts", parts).where((F.size("parts") > 0) & F.forall("parts", lambda x: x.isin(_PHRASES))).select("doc_id", "line")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(M.boilerplate_lines("text")).alias("line"))
 
 
 @query("select doc_id, trim(regexp_replace(text, '[\\t\\n\\x0b\\x0c\\r \\x{00a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{3000}\\x{feff}]+', ' ', 'g')) as text from documents")
