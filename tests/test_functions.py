@@ -234,6 +234,12 @@ def test_boilerplate_lines_follow_the_operator(spark, tmp_path):
     assert sorted(got) == [(1, "**Read more!**"), (1, "Skip to content"), (1, "We use cookies. Back to top.")]
 
 
+def test_entity_decode_reads_whole_pages(spark, tmp_path):
+    pages = [(1, "<title>a &amp; b</title><article class='x'>c &lt; d</article> &copy;"), (2, "<p>&eacute;"), (3, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["page_id"]: r["text"] for r in catalog.entity_decode(spark, str(tmp_path)).collect()} == {1: "<title>a & b</title><article class='x'>c < d</article> ©", 2: "<p>é", 3: None}
+
+
 def test_pdf(spark):
     stream = zlib.compress(b"BT (Hello \\(you\\)) Tj T* [(Wor) -300 (ld)] TJ <414243> Tj ET")
     pdf = b"%PDF-1.4 1 0 obj << /Length 1 /Filter /FlateDecode >> stream\n" + stream + b"\nendstream"

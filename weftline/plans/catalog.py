@@ -457,7 +457,7 @@ def serp_extract(spark, sf_dir):
 
 @query()
 def entity_decode(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.decode_entities(F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", T.decode_entities("html").alias("text"))
 
 
 @query("select doc_id, text from documents where text is not null")
