@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, html_blocks, licenses, ngram_join, packing, pieces, quality, sharding, suffix_dedup, url_rules
+from weftline.llm import ann, collection, html_blocks, licenses, ngram_join, packing, pieces, quality, sharding, suffix_dedup, url_rules
 from weftline.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, label string, bucket int"
@@ -221,18 +221,28 @@ def test_repeats_are_exact(spark, docs, none, rows, hot):
     base = ["".join(rng.choice("ab ") for _ in range(300)) for _ in range(4)]
     odd = [(i if i % 7 else None, rng.choice([base[i % 4][rng.randrange(50) : rng.randrange(60, 300)] + rng.choice(["", "x" * 200, "é" * 40]), "a" * rng.randrange(120), None, "", base[0]])) for i in range(80)] + [(5, "a" * 70)] * 2
     table = spark.createDataFrame(odd, "doc_id long, text string")
-    assert as_sorted(suffix_dedup.remove_repeats(table, stable=False, hot=hot).collect()) == as_sorted(brute_repeats(odd))
-    assert suffix_dedup.remove_repeats(none, stable=False).count() == 0
+    assert as_sorted(suffix_dedup.remove_repeats(table, hot=hot).collect()) == as_sorted(brute_repeats(odd))
+    assert suffix_dedup.remove_repeats(none).count() == 0
     left = suffix_dedup.remove_repeats(docs, texts=True)
     assert left.count() == len(rows) and set(left.columns) == {*docs.columns, "n_removed"}
 
 
-def test_suffix_order():
-    text = b"banana\xffbandana\xff"
-    held = np.frombuffer(b"\xff" + text, dtype=np.uint8)
-    order = suffix_dedup.sort_collection(held, np.array([7, 15]), 7)
-    suffixes = [bytes(held[p:]).split(b"\xff")[0] for p in order]
-    assert suffixes == sorted(suffixes) and len(suffixes) == 15
+@pytest.mark.parametrize("on_disk", [False, True])
+def test_collection_in_order(tmp_path, on_disk):
+    rng = random.Random(1)
+    for trial in range(60):
+        size = rng.choice([2, 3, 5])
+        strings = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(size, size + 20))) for _ in range(rng.randrange(1, 30))]
+        lens = np.array([len(s) for s in strings])
+        store = collection.Store(str(tmp_path / str(trial)) if on_disk else None)
+        rounds = collection.build(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lens), lens, size, store, block=rng.choice([3, 7, 1 << 18]))
+        got = [tuple(map(int, x)) for part in collection.read(store, rounds, block=5) for x in zip(*part)]
+        store.close()
+        found = [strings[i][at:] for i, at, _ in got]
+        assert found == sorted(s[k:] for s in strings for k in range(len(s) - size + 1))
+        for (_, _, shared), a, b in zip(got[1:], found, found[1:]):
+            same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert shared == same or (shared < size and same < size)  # a shorter suffix may lie between
 
 
 def test_neighbours(spark):

@@ -2,17 +2,21 @@
 
 Windows of ``size`` bytes are dealt by their minimizer (the k-mer of least hash in it), so equal windows
 meet in one bucket, as parts of segments: runs of windows with one minimizer. Segments whose minimizer
-lies in one document only are left out first. In a bucket, the collection of distinct segments is sorted
-column by column: each round inserts one more symbol for every segment, which sorts all suffixes so far
-by the symbol before them (their Burrows-Wheeler transform). Neighbours in the final order with a common
-prefix of ``size`` form an interval, and its windows are repeats in all but its smallest document.
-
-Files of a machine would be lost with an executor, so buckets are sized to be sorted in memory and what
-passes between rounds of the job goes through Spark's shuffles. Minimizers met in very many chunks are
-dealt by whole windows instead, so no bucket holds all neighbours of one frequent line.
-
-Documents with a null id are kept whole and remove nothing; rows with the same id don't remove from one
-another; null and empty texts have no bytes; an empty table gives an empty result.
+lies in one document only are left out first. In a bucket, the collection of distinct segments is built
+column by column (``collection``): each round inserts one more symbol of every segment into the collection's
+Burrows-Wheeler transform and updates the common prefixes of neighbours, through sequential files in the
+shared folder. Neighbours in the final order with a common prefix of ``size`` form an interval, and its
+windows are repeats in all but its smallest document.
+
+Segments are at most 76 bytes long, so that is the number of rounds, however long the documents. The files
+belong to one task's attempt: a lost executor's buckets are built anew. Texts are cut into chunks that are
+written once, so all passes see the same chunks. Minimizers met in very many chunks are dealt by whole
+windows instead, so no bucket holds all neighbours of one frequent line.
+
+Awkward rows: documents with a null id are kept whole and remove nothing; rows with the same id (repeated rows,
+too) don't remove from one another; null and empty texts have no bytes; texts of any length are read whole, and a
+very long one is a chunk of its own; of equal windows those of the smallest id stay (ties: all of that id);
+an empty table gives an empty result; other columns are handed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, prepare
+from weftline.llm.collection import Store, build, read
+from weftline.llm.common import materialize, prepare, release, remove, scratch_path, trim_memory
 
 SIZE, K = 50, 24
-SEPARATOR = 0xFF  # no byte of UTF-8
-CHUNK, BUCKET, HOT, SUBS = 1 << 20, 16 << 20, 20_000, 16
+CHUNK, BUCKET, HOT = 1 << 20, 8 << 20, 20_000
 _U = np.uint64
 _TABLE = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.uint64)
 _A = np.random.default_rng(7).integers(1 << 62, 1 << 63, 6, dtype=np.uint64) | _U(1)
@@ -107,7 +111,7 @@ class Segments:
         return key[at], doc[at] != doc[last]
 
     def shared(self, keys: np.ndarray, shared: np.ndarray, hot: np.ndarray, ids: np.ndarray):
-        """Distinct contents of segments with a shared key, in a fixed order: (bucket, start, windows, smallest id, part of the bucket), and for each occurrence (start, windows, id, content)."""
+        """Distinct contents of segments with a shared key, in a fixed order: (bucket, start, windows, smallest id), and for each occurrence (start, windows, id, content)."""
         at = np.searchsorted(keys, self.key)
         pick = shared[at] if len(at) else np.zeros(0, bool)
         start, windows, doc, key = self.start[pick], self.windows[pick], self.doc[pick], self.key[pick]
@@ -133,7 +137,7 @@ class Segments:
         ids = ids[doc]
         least = np.minimum.reduceat(ids[order], first) if len(order) else np.zeros(0, np.int64)
         lead = order[first] if len(order) else order
-        return (key[lead] >> 32, start[lead], windows[lead], least, key[lead] % SUBS), (start, windows, ids, content)
+        return (key[lead] >> 32, start[lead], windows[lead], least), (start, windows, ids, content)
 
 
 def distinct(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,63 +165,38 @@ def distinct(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return group, order, first
 
 
-def sort_collection(text: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
-    """Places in ``text`` of all suffixes in order, built column by column from the segments' ends.
-
-    ``text`` holds the segments, each between two bytes SEPARATOR; ``ends`` are the places of the closing
-    ones, that is, of the empty suffixes. A round turns the order of all suffixes up to a length into the
-    next: the empty suffixes, then those of the last order by the symbol before them.
-    """
-    order = none = ends.astype(np.int32)
-    for _ in range(longest):
-        before = text[order - 1]
-        by = np.argsort(before, kind="stable")
-        more = len(by) - np.count_nonzero(before == SEPARATOR)  # it sorts last
-        order = np.concatenate([none, order[by[:more]] - 1])
-    return order
-
-
-def repeats(text: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def repeats(text: np.ndarray, windows: np.ndarray, ids: np.ndarray, store: Store) -> np.ndarray:
     """For each segment (one after another in ``text``) a mask of the windows that also occur with a smaller id."""
     if not len(windows):
         return np.zeros(0, dtype=np.uint32)
     lens = (windows + SIZE - 1).astype(np.int64)
-    ends = np.cumsum(lens + 1)
-    held = np.full(ends[-1] + 1, SEPARATOR, dtype=np.uint8)
-    held[np.arange(len(text)) + 1 + np.repeat(np.arange(len(lens)), lens)] = text
-    place = sort_collection(held, ends, int(lens.max()))
-    owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1)
-    seg = owner[place - 1]
-    whole = ends[seg] - place >= SIZE
-    place, seg = place[whole], seg[whole]
-    prefix = np.zeros(len(place), dtype=bool)
-    for lo in range(1, len(place), 1 << 16):
-        i = np.arange(lo, min(len(place), lo + (1 << 16)))
-        prefix[i] = (held[place[i][:, None] + np.arange(SIZE)] == held[place[i - 1][:, None] + np.arange(SIZE)]).all(axis=1)
-    first = np.flatnonzero(~prefix)
-    least = np.repeat(np.minimum.reduceat(ids[seg], first), np.diff(np.append(first, len(place))))
-    again = least < ids[seg]
-    off = place - 1 - np.concatenate([[0], ends[:-1]])[seg]
-    return np.bincount(seg[again], weights=2.0 ** off[again], minlength=len(windows)).astype(np.uint32)
-
-
-def sort_part(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Masks of repeated windows for segments that may be equal: equal ones are sorted once."""
+    rounds = build(text, np.cumsum(lens), lens, SIZE, store)
+    segment, window, shared = (np.concatenate(x) for x in zip(*read(store, rounds)))
+    first = np.flatnonzero(shared < SIZE)
+    least = np.repeat(np.minimum.reduceat(ids[segment], first), np.diff(np.append(first, len(segment))))
+    again = least < ids[segment]
+    return np.bincount(segment[again], weights=2.0 ** window[again], minlength=len(windows)).astype(np.uint32)
+
+
+def sort_bucket(text: np.ndarray, windows: np.ndarray, ids: np.ndarray, store: Store) -> np.ndarray:
+    """Masks of repeated windows for segments that may be equal: equal ones are inserted once."""
     lens = windows + SIZE - 1
+    starts = np.cumsum(lens) - lens
     rows = np.zeros((len(windows), 2 * SIZE - K + 1), dtype=np.uint8)
     cell = np.arange(rows.shape[1])
     last = len(text) - 1
-    for lo in range(0, len(windows), 1 << 15):
-        got = text[np.minimum(starts[lo : lo + (1 << 15), None] + cell, last)]
-        got[cell[None, :] >= lens[lo : lo + (1 << 15), None]] = 0
-        got[:, -1] = windows[lo : lo + (1 << 15)]
-        rows[lo : lo + (1 << 15)] = got
+    for lo in range(0, len(windows), 1 << 13):
+        got = text[np.minimum(starts[lo : lo + (1 << 13), None] + cell, last)]
+        got[cell[None, :] >= lens[lo : lo + (1 << 13), None]] = 0
+        got[:, -1] = windows[lo : lo + (1 << 13)]
+        rows[lo : lo + (1 << 13)] = got
     group, order, first = distinct(rows, np.zeros(len(windows), np.int64))
+    del rows
     least = np.minimum.reduceat(ids[order], first)
     lead = order[first]
     n = lens[lead]
     own = np.repeat(starts[lead] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    masks = repeats(text[own], windows[lead], least)[group]
+    masks = repeats(text[own], windows[lead], least, store)[group]
     # The content itself may stand in another chunk with a smaller id: then all its windows repeat.
     return np.where(ids > least[group], (1 << windows) - 1, masks).astype(np.uint32)
 
@@ -231,7 +210,7 @@ def _unpack(data: bytes) -> bytes:
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """Rows of about CHUNK bytes: (chunk, ids, lens, data, rest), ``rest`` the other columns as an Arrow stream. Numbered by partition and place, which a table in files gives alike each time."""
+    """Rows of about CHUNK bytes: (chunk, size, ids, lens, data, rest), ``rest`` the other columns as an Arrow stream."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches):
@@ -241,13 +220,14 @@ def _chunks(docs: DataFrame) -> DataFrame:
             nonlocal number, held, bytes_held
             table = pa.Table.from_batches(held)
             ids, data = table.column(0), [b or b"" for b in table.column(1).to_pylist()]
-            known = np.array(ids.is_valid().to_pylist(), dtype=np.int8)
+            known = np.array(ids.is_valid().to_pylist(), dtype=np.int64)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, (own := table.select(rest).combine_chunks()).schema) as out:
+            with pa.ipc.new_stream(sink, (own := table.select(list(range(2, table.num_columns))).combine_chunks()).schema) as out:
                 out.write_table(own)
-            cells = [[number], [np.stack([np.array(ids.fill_null(0).to_pylist(), dtype=np.int64), known.astype(np.int64)]).tobytes()], [np.array([len(b) for b in data], dtype=np.int64).tobytes()], [_pack(b"".join(data))], [sink.getvalue().to_pybytes()]]
+            whole = b"".join(data)
+            cells = [[number], [len(whole)], [np.stack([np.array(ids.fill_null(0).to_pylist(), dtype=np.int64), known]).tobytes()], [np.array([len(b) for b in data], dtype=np.int64).tobytes()], [_pack(whole)], [sink.getvalue().to_pybytes()]]
             number, held, bytes_held = number + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, [pa.int64()] + [pa.binary()] * 4)], names=["chunk", "ids", "lens", "data", "rest"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, [pa.int64()] * 2 + [pa.binary()] * 4)], names=["chunk", "size", "ids", "lens", "data", "rest"])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -258,9 +238,10 @@ def _chunks(docs: DataFrame) -> DataFrame:
                     yield row()
         if held:
             yield row()
+        trim_memory()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *rest)
-    return plain.mapInArrow(run, "chunk long, ids binary, lens binary, data binary, rest binary")
+    return plain.mapInArrow(run, "chunk long, size long, ids binary, lens binary, data binary, rest binary")
 
 
 def _open(row: pa.Table, buckets: int) -> tuple[Segments, np.ndarray, np.ndarray]:
@@ -292,19 +273,17 @@ _REPLY = "chunk long, bucket int, kind int, a binary, b binary"
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, hot: int = HOT) -> DataFrame:
-    """``docs`` (doc_id, text, ...) to the digest, or with ``texts`` to its columns with what is left of the text (a character cut in two goes whole) and ``n_removed``.
-
-    ``stable``: ``docs`` is read from files, so its rows come in the same partitions each time; else it is written first.
-    """
+def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT, count_as: str = "n_removed") -> DataFrame:
+    """``docs`` (doc_id, text, ...) to the digest, or with ``texts`` to its columns with what is left of the text (a character cut in two goes whole) and ``count_as``, the bytes taken out."""
     prepare(docs)
-    if not stable:
-        docs = materialize(docs, "repeats-input")
+    spark = docs.sparkSession
     if not texts:
         docs = docs.select("doc_id", "text")
-    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(64, n_bytes // BUCKET)
-    chunks = _chunks(docs)
+    rest_schema = docs.select(*[c for c in docs.columns if c not in ("doc_id", "text")]).schema
+    chunks = materialize(_chunks(docs), "repeats-chunks")
+    n_bytes = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(16, n_bytes // BUCKET)
+    folder = scratch_path(spark, "repeats-files")
 
     def post(batches):
         for batch in batches:
@@ -322,6 +301,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
                     ],
                     names=["bucket", "chunk", "keys", "several"],
                 )
+        trim_memory()
 
     def meet(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
@@ -336,15 +316,15 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
             b.append(np.packbits(count[own] >= hot).tobytes())
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": pa.array([0] * len(a), pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    posted = chunks.mapInArrow(post, "bucket int, chunk long, keys binary, several binary")
+    posted = chunks.select("chunk", "ids", "lens", "data").mapInArrow(post, "bucket int, chunk long, keys binary, several binary")
     flags = materialize(posted.groupBy("bucket").applyInArrow(meet, _REPLY), "repeats-flags")
 
     def send(chunk: pa.Table, reply: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = tuple([] for _ in range(6))
+        out: tuple[list, ...] = tuple([] for _ in range(5))
         if chunk.num_rows:
             segments, ids, _ = _open(chunk, buckets)
             keys, _ = segments.keys()
-            (bucket, start, windows, least, sub), _ = segments.shared(keys, *_bits(reply, keys), ids)
+            (bucket, start, windows, least), _ = segments.shared(keys, *_bits(reply, keys), ids)
             for b, lo, hi in _cut(bucket):
                 out[0].append(b)
                 out[1].append(chunk.column("chunk")[0].as_py())
@@ -353,32 +333,30 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
                 n = windows[lo:hi] + SIZE - 1
                 at = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 out[4].append(_pack(segments.buf[at].tobytes()))
-                out[5].append(sub[lo:hi].astype(np.uint8).tobytes())
-        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "chunk", "windows", "ids", "data", "sub"])
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "chunk", "windows", "ids", "data"])
 
-    def sort_bucket(table: pa.Table) -> pa.Table:
+    def sort(table: pa.Table) -> pa.Table:
         windows = [np.frombuffer(x, np.uint8) for x in table.column("windows").to_pylist()]
-        every = np.concatenate(windows).astype(np.int64)
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
         text = np.concatenate([np.frombuffer(_unpack(x), np.uint8) for x in table.column("data").to_pylist()])
-        sub = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("sub").to_pylist()])
-        lens = every + SIZE - 1
-        starts = np.cumsum(lens) - lens
-        masks = np.zeros(len(every), dtype=np.uint32)
-        for part in range(SUBS):  # equal windows lie in one part
-            mine = np.flatnonzero(sub == part)
-            if len(mine):
-                masks[mine] = sort_part(text, starts[mine], every[mine], ids[mine])
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        at = TaskContext.get()
+        store = Store(f"{folder}/{at.stageId()}-{at.taskAttemptId()}-{table.column('bucket')[0].as_py()}")
+        try:
+            masks = sort_bucket(text, np.concatenate(windows).astype(np.int64), ids, store)
+        finally:
+            store.close()
         ends = np.cumsum([len(w) for w in windows])
         cells = [masks[e - len(w) : e].tobytes() for w, e in zip(windows, ends)]
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": pa.array([1] * len(cells), pa.int32()), "a": pa.array(cells, pa.binary()), "b": pa.array([b""] * len(cells), pa.binary())})
-
-    sent = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, windows binary, ids binary, data binary, sub binary")
-    masks = materialize(sent.groupBy("bucket").applyInArrow(sort_bucket, _REPLY), "repeats-masks")
+        found = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": pa.array([1] * len(cells), pa.int32()), "a": pa.array(cells, pa.binary()), "b": pa.array([b""] * len(cells), pa.binary())})
+        del windows, text, ids, masks
+        trim_memory()
+        return found
 
-    rest_schema = docs.select(*[c for c in docs.columns if c not in ("doc_id", "text")]).schema
-    rest_names = rest_schema.names
+    plain = chunks.select("chunk", "ids", "lens", "data")
+    sent = plain.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, windows binary, ids binary, data binary")
+    masks = materialize(sent.groupBy("bucket").applyInArrow(sort, _REPLY), "repeats-masks")
+    remove(spark, folder)
 
     def finish(chunk: pa.Table, reply: pa.Table) -> pa.Table | None:
         rows: list[tuple] = []
@@ -386,7 +364,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
         if chunk.num_rows:
             segments, ids, lens = _open(chunk, buckets)
             keys, _ = segments.keys()
-            (bucket, _, _, least, _), (start, windows, own, content) = segments.shared(keys, *_bits(reply, keys), ids)
+            (bucket, _, _, least), (start, windows, own, content) = segments.shared(keys, *_bits(reply, keys), ids)
             mask = np.zeros(len(bucket), dtype=np.int64)
             where = {b: (lo, hi) for b, lo, hi in _cut(bucket)}
             for kind, b, a in zip(*[reply.column(c).to_pylist() for c in ("kind", "bucket", "a")]):
@@ -400,7 +378,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
                 np.add.at(edge, hit, 1)
                 np.add.at(edge, hit + SIZE, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            id_cells = np.frombuffer(chunk.column("ids")[0].as_py(), dtype=np.int64).reshape(2, -1)
+            known = np.frombuffer(chunk.column("ids")[0].as_py(), dtype=np.int64).reshape(2, -1)[1]
             at = 0
             for d, n in enumerate(lens.tolist()):
                 mark, body = gone[at : at + n], segments.buf[at : at + n]
@@ -408,25 +386,27 @@ def remove_repeats(docs: DataFrame, texts: bool = False, stable: bool = True, ho
                 kept = body[~mark].tobytes()
                 removed = n - len(kept)
                 spans = int(mark[0]) + int((mark[1:] & ~mark[:-1]).sum()) if n else 0
-                doc_id = int(ids[d]) if id_cells[1, d] else None
+                doc_id = int(ids[d]) if known[d] else None
                 rows.append((doc_id, kept.decode("utf-8", "ignore"), removed) if texts else (doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest()))
             if texts:
                 rest = pa.ipc.open_stream(chunk.column("rest")[0].as_py()).read_all()
         kinds = [pa.int64(), pa.string(), pa.int64()] if texts else [pa.int64()] * 4 + [pa.string()]
-        names = ["doc_id", "text", "n_removed"] if texts else [c.split()[0] for c in DIGEST.split(", ")]
+        names = ["doc_id", "text", count_as] if texts else [c.split()[0] for c in DIGEST.split(", ")]
         columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)]
-        if texts and rest_names:
-            rest = rest if rest is not None else empty.slice(0, 0)
-            columns += [rest.column(c).combine_chunks() for c in rest_names]
-            names = names + rest_names
+        if texts and rest_schema.names:
+            rest = rest if rest is not None else empty
+            columns += [rest.column(c).combine_chunks() for c in rest_schema.names]
+            names = names + rest_schema.names
         return pa.table(columns, names=names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     empty = to_arrow_schema(rest_schema).empty_table()
     replies = flags.unionByName(masks)
     if texts:
-        fields = "doc_id long, text string, n_removed long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest_schema)
-    else:
-        fields = DIGEST
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, fields)
+        fields = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField(count_as, LongType()), *rest_schema.fields])
+        return chunks.drop("size").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, fields)
+    found = materialize(plain.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, DIGEST), "repeats-digest")
+    release(chunks, flags, masks)
+    return found
