@@ -8,11 +8,14 @@ above ``limit`` block by block (every block with each other), so none of a leaf'
 What is similar by signature, with a margin of six standard errors, forms clusters; within clusters the
 5-gram sets themselves are compared, large clusters block by block, so every link is exact.
 
-Documents with equal sets are one node with a multiplicity, so copies need no pairs. Texts of fewer than
-five words have one n-gram of all their words; texts without words have no links. Null ids and repeated
-rows are rows like others; an empty table gives an empty result. One row per document is returned:
-doc_id, class_id (smallest id of the class), n_links (other documents of similarity at least the
+Documents with equal sets are one node with a multiplicity, so copies need no pairs. One row per document is
+returned: doc_id, class_id (smallest id of the class), n_links (other documents of similarity at least the
 threshold), copies (documents with the same set).
+
+Awkward rows: texts of fewer than five words have one n-gram of all their words; null texts and texts without words
+have no links and are a class of their own; null ids and repeated rows are documents like others (a class of null ids
+only has a null id); very long texts are read whole; pairs exactly at the threshold are linked (the test is in whole
+numbers); an empty table gives an empty result; other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, prepare
+from weftline.llm.common import materialize, prepare, release, trim_memory, with_hot_keys
 from weftline.llm.components import components
 
 N_HASH, WORDS = 64, 5
@@ -125,6 +128,8 @@ def _sets(docs: DataFrame) -> DataFrame:
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 sigs = [signature(s).tobytes() if len(s) else None for s in sets]
                 yield _batch(["doc_id", "thash", "skey", "size", "sig"], [None, None, pa.binary(), pa.int64(), pa.binary()], [part.column(0), part.column(1), keys, [len(s) for s in sets], sigs])
+        _words.clear()
+        trim_memory()
 
     return docs.mapInArrow(run, "doc_id long, thash long, skey binary, size long, sig binary")
 
@@ -278,6 +283,7 @@ def _exact(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                             out[2].append(keys[ends[root]])
                 at = over
             yield _batch(["skey", "links", "root"], [pa.binary(), pa.int64(), pa.binary()], out)
+        trim_memory()
 
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "skey binary, links long, root binary")
 
@@ -303,6 +309,7 @@ def join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), depth: int = 3, r
     tasks = found.where(F.col("n") <= limit).select("path", "skey").union(large.where("own <> other").select(pair.alias("path"), "skey"))
     edges = _leaf_edges(tasks.join(nodes.select("skey", "sig"), "skey").select("path", "skey", "sig"), least)
     clusters = components(edges, "ngram-clusters").withColumnRenamed("node", "skey")
+    release(found)
 
     member = clusters.join(nodes.drop("sig"), "skey")
     sized = member.groupBy("label").agg(F.count("*").alias("m"), F.sum("size").alias("tokens"))
@@ -317,6 +324,8 @@ def join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), depth: int = 3, r
                 part = batch.slice(lo, 256)
                 sets = [s.tobytes() for s in shingles(part.column(5).to_pylist())]
                 yield _batch(["label", "skey", "copies", "blocks", "own", "set"], [None] * 5 + [pa.binary()], [*part.columns[:5], sets])
+        _words.clear()
+        trim_memory()
 
     tokens = texts.mapInArrow(shingle, "label binary, skey binary, copies long, blocks int, own int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -335,6 +344,8 @@ def join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), depth: int = 3, r
     linked = named.join(first, "label").select("skey", "class_id")
     of = nodes.select("skey", "copies", "least_id").join(links, "skey", "left").join(linked, "skey", "left")
     of = of.select("skey", "copies", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.join(of, "skey", "left").select(
+    of = materialize(of, "ngram-of")
+    release(nodes, exact, clusters, classes)
+    return with_hot_keys(rows.select("doc_id", "thash", "skey"), of, "skey", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "thash"
     )
