@@ -1,18 +1,26 @@
 """Main text of web pages from flat text blocks.
 
-A scan cuts a page into blocks at block-level tags. A block has its words, its link density, the same of
-its neighbours, and what surrounds it (chrome such as menus or forms, an article, reader comments). A
-decision tree, grown on the small labelled table below, keeps or drops it.
-
-Null and empty pages give an empty text; unclosed tags end with their parent; character references are
-decoded after the markup is read, so ``&lt;b&gt;`` stays text. Nothing is cut off, pages are read whole.
+A scan cuts a page into blocks at block-level tags. A block is described by its number of words and its link
+density, the same of the block before and the block after, and by what its open elements say of it: chrome (menus,
+headers, footers, sidebars, notices, adverts, forms), a main part, reader comments, hidden, a heading. A decision
+tree, grown on the small labelled pages of ``html_training``, keeps or drops it. Where a page marks its main part
+that decides; where it marks nothing, words, links and neighbours do.
+
+Names of classes and ids count by whole words only: ``share-price`` or ``side-note`` is no chrome.
+
+Awkward rows: null and empty pages give an empty text and no characters; repeated rows and rows with null ids or
+urls are kept as they come; an empty table gives an empty result; other columns are not read, so their names don't
+matter. The scan is one pass without look-back, so very long and very deeply nested pages take time in proportion
+to their length; they are read whole, nothing is cut off. A tag that the page's end cuts in two is no text, as in
+browsers; character references are decoded after the markup is read, so ``&lt;b&gt;`` stays text.
 """
 
 from __future__ import annotations
 
-import html
 import re
+from collections import defaultdict
 from functools import lru_cache
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,128 +29,195 @@ from pyspark.sql import functions as F
 from weftline.llm.common import prepare
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-# Element classes.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template svg math iframe textarea select button object canvas audio video title head".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CHROME = frozenset("nav footer aside form menu dialog header fieldset".split())
+# Element classes of HTML, and words that name parts of pages.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+UNSHOWN = frozenset("noscript template svg object canvas audio video map select button option optgroup datalist progress meter output".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD = frozenset("base link meta noscript script style template title".split())
+CHROME = frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_CHROME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|banner|breadcrumbs?|cookies?|consent|copyright|footer|header|masthead|menu|nav\w*|newsletter|notice|popup|modal|promo\w*|related|share|sharing|sidebar|side|social|sponsor\w*|subscribe|toolbar|widget|alert|login|search)(?:$|[\s_-])", re.I)
-_MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|main|post|story|body)(?:$|[\s_-])", re.I)
-_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?\w*|disqus|discussion|replies|reply|responses?|feedback)(?:$|[\s_-])", re.I)
-_ROLES = {"navigation": 0, "banner": 0, "contentinfo": 0, "complementary": 0, "search": 0, "form": 0, "dialog": 0, "alert": 0, "main": 1, "article": 1}
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "tbody", "thead", "tfoot"), "tfoot": ("tr", "tbody", "thead", "tfoot")}
+WITHIN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
+ROLES = {"navigation": "chrome", "banner": "chrome", "contentinfo": "chrome", "complementary": "chrome", "search": "chrome", "form": "chrome", "dialog": "chrome", "alertdialog": "chrome", "alert": "chrome", "menu": "chrome", "menubar": "chrome", "toolbar": "chrome", "main": "main", "article": "main"}
+NAMES = dict.fromkeys("ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promotion recommendations recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser teasers toolbar topbar widget widgets".split(), "chrome")
+NAMES |= dict.fromkeys("article body content entry main maincontent post story text".split(), "main")
+NAMES |= dict.fromkeys("comment comments discussion disqus replies reply respond responses".split(), "comment")
+GENERIC = frozenset("area bar block body box button buttons col column container content form frame group holder icons inner item items left link links list outer panel right row section slot thread top bottom unit wrap wrapper zone".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r">|=\s*[\"']")
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_links", "chrome", "inside", "page_has_main", "comment", "heading", "hidden"]
 
 
 class _Frame:
-    __slots__ = ("tag", "chrome", "inside", "comment", "hidden", "mark")
+    """An open element and what it and those around it say."""
+
+    __slots__ = ("tag", "chrome", "inside", "comment", "hidden", "unshown", "link", "heading", "mark")
+
+    def __init__(self, tag="", chrome=0, inside=0, comment=0, hidden=0, unshown=0, link=0, heading=0, mark=None):
+        self.tag, self.chrome, self.inside, self.comment, self.hidden = tag, chrome, inside, comment, hidden
+        self.unshown, self.link, self.heading, self.mark = unshown, link, heading, mark
+
+
+def _kind(token: str) -> str | None:
+    """What a class or id says: by its last word that isn't generic (``comment-list``: comment)."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    while len(words) > 1 and (words[-1] in GENERIC or words[-1].isdigit()):
+        words.pop()
+    return NAMES.get(words[-1]) if words else None
 
-    def __init__(self, tag, chrome=0, inside=0, comment=0, hidden=0, mark=None):
-        self.tag, self.chrome, self.inside, self.comment, self.hidden, self.mark = tag, chrome, inside, comment, hidden, mark
+
+@lru_cache(maxsize=20_000)
+def _says(tag: str, source: str) -> tuple[int, int, int, int, str | None]:
+    """(chrome: 2 by name, 1 by tag; main part; comments; hidden; training mark) of a start tag."""
+    found: dict[str, str] = {}
+    for k, a, b, c in _ATTR.findall(source):
+        found.setdefault(k.lower(), unescape(a or b or c or ""))
+    kinds = {_kind(t) for t in f"{found.get('class', '')} {found.get('id', '')}".split()} | {ROLES.get(found.get("role", "").strip().lower())}
+    whole = tag in ("html", "body")
+    chrome = 0 if whole else 2 if "chrome" in kinds and "main" not in kinds and tag not in MAIN else 1 if tag in CHROME or tag == "header" else 0
+    inside = int(not whole and (tag in MAIN or ("main" in kinds and tag in ("div", "section", "td"))))
+    hidden = int("hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_HIDES.search(found.get("style", ""))))
+    return chrome, inside, int("comment" in kinds and not whole), hidden, found.get("data-keep")
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Behind the ``>`` that ends a tag's attributes, or -1."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        close = page.find(page[m.end() - 1], m.end())
+        if close < 0:
+            return page.find(">", m.end()) + 1 or -1
+        at = close + 1
+    return -1
 
 
 def blocks(page: str) -> list[dict]:
-    """Blocks in page order: text and features (all but the neighbours'), and ``mark``, the label a training page gives."""
+    """Blocks in page order: text, and the features that don't come from neighbours; ``mark`` is the label that a training page gives."""
     out: list[dict] = []
-    stack = [_Frame("")]
+    stack, at_of = [_Frame()], defaultdict(list)
     text: list[str] = []
     linked: list[str] = []
-    links, at, heading = 0, 0, 0
-    low = None
+    at, n = 0, len(page)
 
     def close() -> None:
-        nonlocal text, linked, heading
-        words = html.unescape("".join(text)).split()
-        if words:
-            top = stack[-1]
-            n_linked = len(html.unescape("".join(linked)).split())
-            out.append({"text": " ".join(words), "words": len(words), "links": min(1.0, n_linked / len(words)), "chrome": top.chrome, "inside": top.inside, "comment": top.comment, "hidden": top.hidden, "heading": heading, "mark": top.mark})
-        text, linked = [], []
+        if text:
+            words = "".join(text).split()
+            if words:
+                top = stack[-1]
+                share = len("".join(linked).split()) / len(words) if linked else 0.0
+                out.append({"text": " ".join(words), "words": len(words), "links": min(1.0, share), "chrome": int(top.chrome > 0), "inside": top.inside, "comment": top.comment, "hidden": top.hidden, "heading": top.heading, "mark": top.mark})
+            text.clear()
+            linked.clear()
 
     def say(part: str) -> None:
+        top = stack[-1]
+        if top.unshown:
+            return
+        if "&" in part:
+            part = unescape(part)
         text.append(part)
-        if links:
-            linked.append(part)
+        if linked or top.link:
+            linked.append(part if top.link else " ")
 
-    while at < len(page):
-        m = _TAG.search(page, at)
-        say(page[at : m.start() if m else len(page)])
-        if not m:
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            at_of[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((at_of[t][-1] for t in tags if at_of[t]), default=0)
+
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            say(page[at:])
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if lt > at:
+            say(page[at:lt])
+        mark = page[lt + 1 : lt + 2]
+        if mark in ("!", "?"):
+            if page.startswith("<!--", lt):
+                over = page.find("-->", lt + 4)
+                at = over + 3 if over >= 0 else n
+            else:
+                over = page.find(">", lt)
+                at = over + 1 if over >= 0 else n
             continue
-        ends, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if not ends and tag in RAW:
-            low = low or page.lower()
-            if not attrs.rstrip().endswith("/") and tag != "head":
-                stop = low.find(f"</{tag}", at)
-                if stop < 0 and tag in ("script", "style"):
-                    break
-                if stop >= 0:
-                    over = page.find(">", stop)
-                    at = over + 1 if over >= 0 else len(page)
-            say(" ")
+        ends = mark == "/"
+        m = _NAME.match(page, lt + 1 + ends)
+        if not m:
+            say("<")
+            at = lt + 1
             continue
-        if tag == "a":
-            links = 0 if ends else 1
+        over = _tag_end(page, m.end())
+        if over < 0:
+            break
+        tag, source, at = m[0].lower(), page[m.end() : over - 1], over
+        if ends:
+            if tag == "br":
+                say(" ")
+                continue
+            if tag not in INLINE:
+                close()
+            if at_of[tag]:
+                cut(at_of[tag][-1])
             continue
-        if tag in INLINE and not ends and (attrs and tag not in VOID and _hides(attrs)):
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else at
+        if tag in RAW:
+            m = _CLOSE[tag].search(page, at)
+            if not m:
+                break
+            over = page.find(">", m.end())
+            at = over + 1 if over >= 0 else n
+            say(" ")
             continue
-        if tag in INLINE:
+        if at_of["head"] and tag not in HEAD and tag not in UNSHOWN:
+            cut(at_of["head"][-1])
+        if tag == "a" and at_of["a"]:
+            cut(at_of["a"][-1])
+        if tag in VOID:
             if tag == "br":
                 say(" ")
+            elif tag not in INLINE:
+                close()
             continue
-        close()
-        links = 0
-        if tag in VOID:
+        if tag in INLINE and tag != "a" and not source:
             continue
-        if ends:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                del stack[k:]
-            heading = 0
+        if tag not in INLINE:
+            close()
+            if tag in CLOSES_P and at_of["p"] and at_of["p"][-1] > last(("td", "th", "button", "object")):
+                cut(at_of["p"][-1])
+            if tag in CLOSES:
+                first = last(CLOSES[tag])
+                if first and first > last(w for w in WITHIN[tag] if w != tag):
+                    cut(first)
+        if source.endswith("/") and tag in UNSHOWN:
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option", *HEADINGS) and stack[-1].tag in (("p", tag) if tag not in ("td", "th") else ("p", "td", "th")):
-            stack.pop()
-        elif stack[-1].tag == "p":
-            stack.pop()
-        top, frame = stack[-1], _frame(tag, attrs)
-        heading = int(tag in HEADINGS)
-        inside = max(top.inside, frame.inside)
-        # A header within an article is the article's own.
-        chrome = 0 if tag == "header" and top.inside and not frame.chrome > 1 else min(1, frame.chrome)
-        stack.append(_Frame(tag, max(top.chrome, chrome), inside, max(top.comment, frame.comment), max(top.hidden, frame.hidden), frame.mark or top.mark))
+        top = stack[-1]
+        chrome, inside, comment, hidden, label = _says(tag, source.strip())
+        if tag == "header" and chrome == 1 and top.inside:
+            chrome = 0  # an article's own header
+        if tag in INLINE and tag != "a" and not hidden:
+            continue
+        at_of[tag].append(len(stack))
+        stack.append(
+            _Frame(tag, max(top.chrome, chrome), max(top.inside, inside), max(top.comment, comment), max(top.hidden, hidden), max(top.unshown, int(tag in UNSHOWN or tag == "head" or (hidden and tag in INLINE))), max(top.link, int(tag == "a")), max(top.heading, int(tag in HEADINGS)), label or top.mark)
+        )
     close()
     return out
 
 
-def _hides(attrs: str) -> bool:
-    found = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _ATTR.findall(attrs)}
-    return "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
-
-
-@lru_cache(maxsize=10_000)
-def _frame(tag: str, attrs: str) -> _Frame:
-    found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    role = _ROLES.get(found.get("role", "").lower())
-    main = int(tag in MAIN or role == 1 or (bool(_MAIN.search(names)) and tag in ("div", "section", "td")))
-    chrome = 2 * int(role == 0 or bool(_CHROME.search(names))) or int(tag in CHROME)
-    if tag in ("body", "html"):
-        chrome = main = 0
-    return _Frame(tag, chrome, main, int(bool(_COMMENT.search(names))), int(bool(attrs) and _hides(attrs)), found.get("data-keep"))
-
-
 def features(found: list[dict]) -> list[list[float]]:
-    has_main = float(any(b["inside"] for b in found))
-    none = {"words": 0, "links": 0.0}
+    """One row of FEATURES a block; a missing neighbour has -1 words and links."""
+    has_main = float(any(b["inside"] and not (b["chrome"] or b["comment"] or b["hidden"]) for b in found))
+    none = {"words": -1, "links": -1.0}
     rows = []
     for k, b in enumerate(found):
         before, after = found[k - 1] if k else none, found[k + 1] if k + 1 < len(found) else none
@@ -150,8 +225,8 @@ def features(found: list[dict]) -> list[list[float]]:
     return rows
 
 
-def grow(x: list[list[float]], y: list[int], depth: int = 8):
-    """A decision tree by Gini impurity: a leaf is 0 or 1, a node (feature, threshold, at most it, above it)."""
+def grow(x: list[list[float]], y: list[int], depth: int = 12, least: int = 3):
+    """A decision tree by Gini impurity: a leaf is 0 or 1, a node (feature, threshold, at most it, above it); no side has fewer than ``least`` rows."""
     ones = sum(y)
     if depth == 0 or ones in (0, len(y)):
         return int(2 * ones >= len(y))
@@ -161,15 +236,16 @@ def grow(x: list[list[float]], y: list[int], depth: int = 8):
         left = 0
         for k in range(1, len(order)):
             left += order[k - 1][1]
-            if order[k][0] > order[k - 1][0]:
+            if order[k][0] > order[k - 1][0] and least <= k <= len(order) - least:
                 gini = left * (k - left) / k + (ones - left) * (len(y) - k - ones + left) / (len(y) - k)
-                if best is None or gini < best[0] - 1e-12:
+                if best is None or gini < best[0] - 1e-9:
                     best = (gini, f, (order[k][0] + order[k - 1][0]) / 2)
     if best is None:
         return int(2 * ones >= len(y))
     _, f, t = best
     sides = [[(r, v) for r, v in zip(x, y) if (r[f] > t) == above] for above in (False, True)]
-    return f, t, *[grow([r for r, _ in s], [v for _, v in s], depth - 1) for s in sides]
+    below, beyond = (grow([r for r, _ in s], [v for _, v in s], depth - 1, least) for s in sides)
+    return below if below == beyond and isinstance(below, int) else (f, t, below, beyond)
 
 
 def decide(tree, row: list[float]) -> int:
@@ -179,46 +255,29 @@ def decide(tree, row: list[float]) -> int:
     return tree
 
 
-def _training_pages() -> list[str]:
-    """The labelled table: ``data-keep`` marks each block of these small pages."""
-    long = "The council said on Monday that work on the old bridge will start in spring and should be over before the first frost, if the weather holds and money comes in time. " * 2
-    mid = "Most people in the valley have waited for this for many years, she said after the meeting."
-    short = "It rained."
-    links = '<ul data-keep="n"><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Sport and games</a></li></ul>'
-    ad = '<div class="ad" data-keep="n">Buy one, get one free at the corner shop this week only.</div>'
-    foot = '<footer data-keep="n"><p>&copy; 2024 The Valley Paper. All rights reserved, no part of it may be used again.</p><p><a href="/i">Imprint</a></p></footer>'
-    text = f'<h1 data-keep="y">Bridge works</h1><p data-keep="y">{long}</p><p data-keep="y">{short}</p><p data-keep="y">{mid}</p>'
-    notes = f'<section class="comments" data-keep="n"><h2>Comments</h2><p>{long}</p><p>{mid}</p><p>{short}</p></section>'
-    side = f'<aside data-keep="n"><h3>Also read</h3><p>{mid}</p><p><a href="/x">{mid}</a></p><p>{long}</p></aside>'
-    form = '<form data-keep="n"><p>Get our letter</p><p>Write your address here and we send you a letter each week without any cost at all.</p></form>'
-    notice = f'<div class="cookie notice" data-keep="n"><p>{mid}</p><p>{long}</p></div>'
-    header = f'<header data-keep="n"><p>The Valley Paper</p><p>{mid}</p></header>'
-    plain = "".join(f'<p data-keep="y">{p}</p>' for p in (long, mid, long, mid))
-    linked = f'<p data-keep="y">{long} <a href="/y">the old plan</a></p>'
-    listed = '<ul data-keep="y"><li>One lane is open</li><li>Two lanes are shut</li></ul>'
-    tail = '<p data-keep="n"><a href="/p">Older</a> <a href="/q">Newer</a></p>'
-    hidden = f'<div hidden data-keep="n"><p>{long}</p></div><p style="display:none" data-keep="n">{mid}</p>'
-    inner = f'<header><h1 data-keep="y">Bridge works</h1><p data-keep="y">{short}</p></header>'
-    return [
-        f"<nav>{links}</nav>{ad}<article>{text}</article>{foot}",
-        f"{header}<nav>{links}</nav><main>{text}{notes}</main>{side}{foot}",
-        f"{notice}<article>{inner}{text}{linked}{listed}{ad}{notes}</article>{form}{foot}",
-        f'<div data-keep="n">{links}</div>{plain}<div data-keep="n">{links}</div>{foot}',
-        f"{header}{plain}{linked}{notes}{side}{form}{foot}",
-        f'<article>{hidden}{text}{listed}{form}{side}</article><div data-keep="n"><p>{mid}</p><p>{short}</p><p>{long}</p></div>',
-        f'<div data-keep="n">{links}</div><div class="content">{text}{linked}{notes}</div>{tail}{foot}',
-        f'<article>{text}</article><div data-keep="n">{links}</div>{notes}{notice}{foot}',
-    ]
+def show(tree, indent: str = "") -> str:
+    """The tree as text."""
+    if isinstance(tree, int):
+        return f"{indent}{'keep' if tree else 'drop'}\n"
+    f, t, low, high = tree
+    return f"{indent}{FEATURES[f]} <= {t:g}\n{show(low, indent + '  ')}{indent}{FEATURES[f]} > {t:g}\n{show(high, indent + '  ')}"
 
 
-@lru_cache(maxsize=1)
-def trained():
+def labelled(pages: list[str]) -> tuple[list[list[float]], list[int]]:
+    """Features and labels of the blocks of marked pages."""
     x, y = [], []
-    for page in _training_pages():
+    for page in pages:
         found = blocks(page)
         x += features(found)
         y += [int(b["mark"] == "y") for b in found]
-    return grow(x, y)
+    return x, y
+
+
+@lru_cache(maxsize=1)
+def trained():
+    from weftline.llm.html_training import pages
+
+    return grow(*labelled(pages()))
 
 
 def main_text(page: str | None, tree=None) -> str:
