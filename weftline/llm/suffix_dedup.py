@@ -2,8 +2,8 @@
 
 Windows of ``size`` bytes are dealt by their minimizer (the k-mer of least hash in it), so equal windows
 meet in one bucket, as parts of segments: runs of windows with one minimizer. Segments whose minimizer
-lies in one document only are left out first. In a bucket, the collection of distinct segments is built
-column by column (``collection``): each round inserts one more symbol of every segment into the collection's
+lies in one document only are left out first. In a bucket, equal segments become one, which is repeated in
+all documents but its smallest; those that share their minimizer with others form a collection, built column by column (``collection``): each round inserts one more symbol of every segment into the collection's
 Burrows-Wheeler transform and updates the common prefixes of neighbours, through sequential files in the
 shared folder. Neighbours in the final order with a common prefix of ``size`` form an interval, and its
 windows are repeats in all but its smallest document.
@@ -111,7 +111,7 @@ class Segments:
         return key[at], doc[at] != doc[last]
 
     def shared(self, keys: np.ndarray, shared: np.ndarray, hot: np.ndarray, ids: np.ndarray):
-        """Distinct contents of segments with a shared key, in a fixed order: (bucket, start, windows, smallest id), and for each occurrence (start, windows, id, content)."""
+        """Distinct contents of segments with a shared key, in a fixed order: (bucket, start, windows, smallest id, lower half of the key), and for each occurrence (start, windows, id, content)."""
         at = np.searchsorted(keys, self.key)
         pick = shared[at] if len(at) else np.zeros(0, bool)
         start, windows, doc, key = self.start[pick], self.windows[pick], self.doc[pick], self.key[pick]
@@ -137,7 +137,7 @@ class Segments:
         ids = ids[doc]
         least = np.minimum.reduceat(ids[order], first) if len(order) else np.zeros(0, np.int64)
         lead = order[first] if len(order) else order
-        return (key[lead] >> 32, start[lead], windows[lead], least), (start, windows, ids, content)
+        return (key[lead] >> 32, start[lead], windows[lead], least, (key[lead] & 0xFFFFFFFF).astype(np.uint32)), (start, windows, ids, content)
 
 
 def distinct(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,8 +178,8 @@ def repeats(text: np.ndarray, windows: np.ndarray, ids: np.ndarray, store: Store
     return np.bincount(segment[again], weights=2.0 ** window[again], minlength=len(windows)).astype(np.uint32)
 
 
-def sort_bucket(text: np.ndarray, windows: np.ndarray, ids: np.ndarray, store: Store) -> np.ndarray:
-    """Masks of repeated windows for segments that may be equal: equal ones are inserted once."""
+def sort_bucket(text: np.ndarray, windows: np.ndarray, ids: np.ndarray, keys: np.ndarray, store: Store) -> np.ndarray:
+    """Masks of repeated windows for segments that may be equal. Equal ones are one string of the collection, and one whose minimizer no other has is none: it shares no window."""
     lens = windows + SIZE - 1
     starts = np.cumsum(lens) - lens
     rows = np.zeros((len(windows), 2 * SIZE - K + 1), dtype=np.uint8)
@@ -194,11 +194,15 @@ def sort_bucket(text: np.ndarray, windows: np.ndarray, ids: np.ndarray, store: S
     del rows
     least = np.minimum.reduceat(ids[order], first)
     lead = order[first]
-    n = lens[lead]
-    own = np.repeat(starts[lead] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    masks = repeats(text[own], windows[lead], least, store)[group]
+    _, of, count = np.unique(keys[lead], return_inverse=True, return_counts=True)
+    together = np.flatnonzero(count[of] > 1)
+    own = lead[together]
+    n = lens[own]
+    at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    masks = np.zeros(len(lead), dtype=np.uint32)
+    masks[together] = repeats(text[at], windows[own], least[together], store)
     # The content itself may stand in another chunk with a smaller id: then all its windows repeat.
-    return np.where(ids > least[group], (1 << windows) - 1, masks).astype(np.uint32)
+    return np.where(ids > least[group], (1 << windows) - 1, masks[group]).astype(np.uint32)
 
 
 def _pack(data: bytes) -> bytes:
@@ -320,11 +324,11 @@ def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT, count_a
     flags = materialize(posted.groupBy("bucket").applyInArrow(meet, _REPLY), "repeats-flags")
 
     def send(chunk: pa.Table, reply: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = tuple([] for _ in range(5))
+        out: tuple[list, ...] = tuple([] for _ in range(6))
         if chunk.num_rows:
             segments, ids, _ = _open(chunk, buckets)
             keys, _ = segments.keys()
-            (bucket, start, windows, least), _ = segments.shared(keys, *_bits(reply, keys), ids)
+            (bucket, start, windows, least, low), _ = segments.shared(keys, *_bits(reply, keys), ids)
             for b, lo, hi in _cut(bucket):
                 out[0].append(b)
                 out[1].append(chunk.column("chunk")[0].as_py())
@@ -333,17 +337,19 @@ def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT, count_a
                 n = windows[lo:hi] + SIZE - 1
                 at = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 out[4].append(_pack(segments.buf[at].tobytes()))
-        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "chunk", "windows", "ids", "data"])
+                out[5].append(low[lo:hi].tobytes())
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "chunk", "windows", "ids", "data", "low"])
 
     def sort(table: pa.Table) -> pa.Table:
         windows = [np.frombuffer(x, np.uint8) for x in table.column("windows").to_pylist()]
         text = np.concatenate([np.frombuffer(_unpack(x), np.uint8) for x in table.column("data").to_pylist()])
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        low = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()])
         at = TaskContext.get()
         store = Store(f"{folder}/{at.stageId()}-{at.taskAttemptId()}-{table.column('bucket')[0].as_py()}")
         try:
-            masks = sort_bucket(text, np.concatenate(windows).astype(np.int64), ids, store)
+            masks = sort_bucket(text, np.concatenate(windows).astype(np.int64), ids, low, store)
         finally:
             store.close()
         ends = np.cumsum([len(w) for w in windows])
@@ -354,7 +360,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT, count_a
         return found
 
     plain = chunks.select("chunk", "ids", "lens", "data")
-    sent = plain.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, windows binary, ids binary, data binary")
+    sent = plain.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, windows binary, ids binary, data binary, low binary")
     masks = materialize(sent.groupBy("bucket").applyInArrow(sort, _REPLY), "repeats-masks")
     remove(spark, folder)
 
@@ -364,7 +370,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT, count_a
         if chunk.num_rows:
             segments, ids, lens = _open(chunk, buckets)
             keys, _ = segments.keys()
-            (bucket, _, _, least), (start, windows, own, content) = segments.shared(keys, *_bits(reply, keys), ids)
+            (bucket, _, _, least, _), (start, windows, own, content) = segments.shared(keys, *_bits(reply, keys), ids)
             mask = np.zeros(len(bucket), dtype=np.int64)
             where = {b: (lo, hi) for b, lo, hi in _cut(bucket)}
             for kind, b, a in zip(*[reply.column(c).to_pylist() for c in ("kind", "bucket", "a")]):
