@@ -66,6 +66,11 @@ class _Frame:
         self.unshown, self.link, self.heading, self.mark = unshown, link, heading, mark
 
 
+def _is_word(token: str) -> bool:
+    """Whether it counts as a word: bars and dots between links don't."""
+    return token[0].isalnum() or any(map(str.isalnum, token))
+
+
 def _kind(token: str) -> str | None:
     """What a class or id says: by its last word that isn't generic (``comment-list``: comment)."""
     words = [w.lower() for w in _WORD.findall(token)]
@@ -113,8 +118,9 @@ def blocks(page: str) -> list[dict]:
             words = "".join(text).split()
             if words:
                 top = stack[-1]
-                share = len("".join(linked).split()) / len(words) if linked else 0.0
-                out.append({"text": " ".join(words), "words": len(words), "links": min(1.0, share), "chrome": int(top.chrome > 0), "inside": top.inside, "comment": top.comment, "hidden": top.hidden, "heading": top.heading, "mark": top.mark})
+                n = sum(map(_is_word, words))
+                share = sum(map(_is_word, "".join(linked).split())) / max(1, n) if linked else 0.0
+                out.append({"text": " ".join(words), "words": n, "links": min(1.0, share), "chrome": int(top.chrome > 0), "inside": top.inside, "comment": top.comment, "hidden": top.hidden, "heading": top.heading, "mark": top.mark})
             text.clear()
             linked.clear()
 

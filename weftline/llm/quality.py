@@ -2,12 +2,15 @@
 
 Every document gets integer metrics in thousandths. For each language and source a log-linear histogram
 (six significant bits, so quantiles are off by at most 1/32 of their value) serves as quantile sketch:
-histograms of groups add up to those of a language and of the corpus, which stand in where a group has
-fewer than ``min_rows`` documents. A limit lies ``width`` interquartile ranges beyond a quartile (with a
-least range per metric); documents are joined to their group's limits and fail beyond any of them.
-
-Nulls: a null text has no words and fails the base rule; null languages or sources form groups of their
-own. Empty tables give empty results; repeated rows are judged one by one.
+histograms of groups add up to those of a language and of the corpus. A group's quartiles are pooled with its
+language's, weighted as if the language's came from ``prior`` rows more, and those with the corpus's likewise; so
+small groups lean on their language and large ones on themselves, without a switch. A limit lies ``width``
+interquartile ranges beyond a quartile (with a least range per metric); documents are joined to their group's limits
+and fail beyond any of them.
+
+Awkward rows: a null or empty text has no words and fails the base rule; very long texts are measured whole; null
+languages or sources form groups of their own; repeated rows are judged one by one, and a value at the limit (a tie)
+passes; an empty table gives an empty result; ``apply_rules`` hands other columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,19 +48,20 @@ def _covered(hashes: Column) -> Column:
     return F.get(F.transform(F.array(by_hash), count), F.lit(0))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base counts and the metrics."""
-    kept = docs.columns
-    words = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_words", F.filter(F.split("_text", WORD_GAP), lambda w: w != ""))
+def measure(docs: DataFrame, kept: str | None = None) -> DataFrame:
+    """The rows' base counts and metrics next to doc_id, lang and source, or to one struct ``kept`` of all columns."""
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(kept)] if kept else [F.col("doc_id")]
+    words = docs.select(*whole, F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.coalesce("text", F.lit("")).alias("_text"))
+    words = words.withColumn("_words", F.filter(F.split("_text", WORD_GAP), lambda w: w != ""))
     hashed = words.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w))).withColumn(
         "_lines", F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     )
     pair = lambda xs, k: _pairs(xs, k, lambda a, b: F.xxhash64(a, b))
     hashed = hashed.withColumn("_w2", pair(F.col("_h"), 1)).withColumn("_w4", pair(F.col("_w2"), 2)).withColumn("_w8", pair(F.col("_w4"), 4))
-    n = F.size("_words").cast("long")
+    first = [kept or "doc_id", F.col("_lang").alias("lang"), F.col("_source").alias("source")]
     base = hashed.select(
-        *kept,
-        n.alias("n_words"),
+        *first,
+        F.size("_words").cast("long").alias("n_words"),
         F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -68,7 +72,9 @@ def measure(docs: DataFrame) -> DataFrame:
     )
     each = lambda top, bottom: F.expr(f"1000 * {top} div greatest({bottom}, 1)")
     return base.select(
-        *kept,
+        kept or "doc_id",
+        "lang",
+        "source",
         *BASE,
         F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words").alias("base_failed"),
         each("n_symbols", "n_words").alias("symbols"),
@@ -93,14 +99,14 @@ def _quartiles(hist: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "metric").agg(F.max("total").alias("rows"), q(1).alias("q1"), q(3).alias("q3"))
 
 
-def limits(hist: DataFrame, width: int = 3, min_rows: int = 100) -> DataFrame:
-    """One row (lang, source, <metric>_low, <metric>_high) per group; a thin group takes its language's quartiles, a thin language the corpus's."""
+def limits(hist: DataFrame, width: int = 3, prior: int = 100) -> DataFrame:
+    """One row (lang, source, <metric>_low, <metric>_high) per group, from its quartiles pooled with its language's and the corpus's."""
     own, lang, whole = _quartiles(hist, ["lang", "source"]), _quartiles(hist, ["lang"]), _quartiles(hist, [])
     up = lambda df, p: df.select(*[c for c in df.columns if c in ("lang", "metric")], *[F.col(c).alias(f"{p}_{c}") for c in ("rows", "q1", "q3")])
     both = own.alias("o").join(up(lang, "lang").withColumnRenamed("lang", "_lang").alias("l"), F.col("o.lang").eqNullSafe(F.col("_lang")) & (F.col("o.metric") == F.col("l.metric"))).select("o.*", "lang_rows", "lang_q1", "lang_q3")
     both = both.join(up(whole, "all"), "metric")
-    pick = lambda q: F.when(F.col("rows") >= min_rows, F.col(q)).when(F.col("lang_rows") >= min_rows, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    chosen = both.select("lang", "source", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    pool = lambda n, q, wider: F.expr(f"({n} * {q} + {prior} * ({wider})) div ({n} + {prior})")
+    chosen = both.select("lang", "source", "metric", *[pool("rows", q, f"(lang_rows * lang_{q} + {prior} * all_{q}) div (lang_rows + {prior})").alias(q) for q in ("q1", "q3")])
     at = lambda m, c: F.max(F.when(F.col("metric") == m, c))
     gap = lambda least: F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * width
     return chosen.groupBy("lang", "source").agg(
@@ -121,13 +127,13 @@ def judge(measured: DataFrame, lim: DataFrame) -> DataFrame:
     return joined.select(*measured.columns, (~bad).alias("kept"))
 
 
-def apply_rules(docs: DataFrame, width: int = 3, min_rows: int = 100) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source and what else is selected) measured, with ``kept``; the measured table is written once and read twice."""
-    measured = materialize(measure(docs), "quality")
-    return judge(measured, limits(sketch(measured), width, min_rows))
+def apply_rules(docs: DataFrame, width: int = 3, prior: int = 100) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source and what else there is) that the rules keep, with their columns; the measured table is written once and read twice."""
+    measured = materialize(measure(docs, "_doc"), "quality")
+    return judge(measured, limits(sketch(measured), width, prior)).where("kept").select("_doc.*")
 
 
-def quality_rules(docs: DataFrame, width: int = 3, min_rows: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, width: int = 3, prior: int = 100) -> DataFrame:
     """The digest: doc_id, base counts, base_failed, kept and the metrics."""
-    measured = materialize(measure(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    return judge(measured, limits(sketch(measured), width, min_rows)).select("doc_id", *BASE, "base_failed", "kept", *METRICS)
+    measured = materialize(measure(docs.select("doc_id", "text", "lang", "source")), "quality")
+    return judge(measured, limits(sketch(measured), width, prior)).select("doc_id", *BASE, "base_failed", "kept", *METRICS)

@@ -60,7 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_rules, op2_packing, op3_ngram_join, op4_sharding, op5_quality_rules, op6_suffix_dedup, op7_ann, op8_pieces, op9_html_blocks, op10_licenses)}
 
 
-def _quality_sql(width: int = 3, min_rows: int = 100) -> str:
+def _quality_sql(width: int = 3, prior: int = 100) -> str:
     metrics = quality.METRICS
     stacked = " union all ".join(f"select lang, source, '{m}' as metric, {m} as v from measured where not base_failed" for m in metrics)
     limits = ", ".join(
@@ -75,7 +75,7 @@ def _quality_sql(width: int = 3, min_rows: int = 100) -> str:
             from (select {by}metric, bucket, sum(n) over ({on}) as total, sum(n) over ({on} order by bucket rows unbounded preceding) as upto
                   from (select {by}metric, bucket, sum(n) as n from hist group by {by}metric, bucket)) group by {by}metric)"""
 
-    pick = lambda q: f"case when o.n_rows >= {min_rows} then o.{q} when l.n_rows >= {min_rows} then l.{q} else a.{q} end as {q}"
+    pick = lambda q: f"(o.n_rows * o.{q} + {prior} * ((l.n_rows * l.{q} + {prior} * a.{q}) // (l.n_rows + {prior}))) // (o.n_rows + {prior}) as {q}"
     gap = r"[\x20\x09-\x0D]+"
     return f"""
 with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t from documents),

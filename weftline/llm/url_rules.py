@@ -1,12 +1,18 @@
 """URL filters by association rules.
 
-FP-growth mines combinations of URL tokens from labelled URLs; rules that predict ``block`` with enough
-support and confidence are kept, unless a shorter rule already says as much. A rule is posted in an
-inverted index under its rarest token, so a URL meets only rules of which it holds that token, and the
-other tokens are verified by a set difference. Fixed host/path rules go first, longest wins.
-
-Null, repeated and odd URLs: null or no ``://`` has empty host and path, no tokens, verdict ``allow``.
-An empty table gives no rows; without labelled rows no rule is mined and everything unmatched is allowed.
+FP-growth mines combinations of URL tokens from labelled URLs; rules that predict ``block`` with enough support,
+confidence and lift (confidence over the share of bad URLs among all) are kept, unless a shorter rule already says as
+much. A rule is posted in an inverted index under its rarest token, so a URL meets only rules of which it holds that
+token, and the other tokens are verified by a set difference. Fixed host/path rules go first, longest wins.
+
+All labelled rows and all their tokens are mined; left out are only tokens that lie in too few bad URLs to be in any
+rule with the support asked for, which changes no rule. ``min_support`` bounds the number of itemsets.
+
+Awkward rows: a null url, or one without ``://``, has empty host and path, no tokens and the verdict ``allow``; long
+urls are read whole; labelled rows with a null url or label teach nothing; repeated rows count as often as they come
+and are judged one by one; of mined rules that fit, the highest confidence counts; an empty table gives no rows, and
+without labelled rows no rule is mined and everything unmatched is allowed; other columns are not read, so their
+names don't matter.
 """
 
 from __future__ import annotations
@@ -15,6 +21,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 BLOCK = "label=block"
@@ -37,41 +45,34 @@ def url_tokens(url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(hosts, words, keys)), lambda x: F.length(x) > 2)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, max_width: int = 12, min_count: float = 10.0) -> DataFrame:
-    """Rules (tokens, anchor, confidence, support) from ``labelled`` (url string, bad boolean).
+RULES = "tokens array<string>, anchor string, confidence double, support double"
+
 
-    ``max_width`` bounds a training transaction: of a URL's tokens the ones with the highest share of
-    bad URLs stay, since the number of itemsets doubles with each token. All labelled rows count.
-    """
+def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, min_lift: float = 1.5, min_count: float = 10.0) -> DataFrame:
+    """Rules (tokens, anchor, confidence, support) from ``labelled`` (url string, bad boolean)."""
     rows = labelled.where("url is not null and bad is not null").select(url_tokens(F.col("url")).alias("tokens"), F.col("bad").cast("int").alias("bad"))
-    grouped = rows.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad"))
-    total = grouped.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    schema = "tokens array<string>, anchor string, confidence double, support double"
-    if not total:
-        return labelled.sparkSession.createDataFrame([], schema)
-    seen = grouped.select(F.explode("tokens").alias("token"), "n", "n_bad").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
-    useful = seen.where(F.col("n_bad") >= max(min_count, min_support * total)).select("token", F.col("n").alias("token_n"), (F.col("n_bad") / F.col("n")).alias("rate"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("rate", "token")), asc=False), 1, max_width)
-    kept = (
-        rows.withColumn("row", F.monotonically_increasing_id())
-        .select("row", "bad", F.explode("tokens").alias("token"))
-        .join(useful, "token")
-        .groupBy("row", "bad")
-        .agg(F.transform(best, lambda x: x["token"]).alias("tokens"))
-        .select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
-    )
+    sums = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")).first()
+    total, n_bad = sums["n"], sums["n_bad"]
+    if not n_bad:
+        return labelled.sparkSession.createDataFrame([], RULES)
+    least = max(min_count, min_support * total)
+    seen = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("token_n"), F.sum("bad").alias("token_bad"))
+    useful = materialize(seen.where(F.col("token_bad") >= least).select("token", "token_n"), "url-tokens")
+    numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    kept = numbered.select("row", "bad", F.explode("tokens").alias("token")).join(useful.select("token"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("tokens"))
+    kept = materialize(kept.select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")), "url-baskets")
     held = kept.count()
     if not held:
-        return labelled.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_count, min_support * total) / held), minConfidence=min_confidence).fit(kept)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * held / total).alias("support")
-    )
+        return labelled.sparkSession.createDataFrame([], RULES)
+    # A hair below the count asked for, which the miner rounds up.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 1e-6) / held), minConfidence=min_confidence).fit(kept)
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("confidence") >= min_lift * n_bad / total))
+    rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * held / total).alias("support")), "url-rules")
     each = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(useful, "token")
     indexed = each.groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct("token_n", "token")).alias("anchor"))
     shorter = indexed.select(F.col("tokens").alias("part"), F.col("anchor").alias("token"), F.col("confidence").alias("other"))
     covered = each.join(shorter, "token").where((F.size("part") < F.size("tokens")) & (F.col("other") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0))
-    return indexed.join(covered.select("tokens").distinct(), "tokens", "left_anti").select("tokens", "anchor", "confidence", "support")
+    return materialize(indexed.join(covered.select("tokens").distinct(), "tokens", "left_anti").select("tokens", "anchor", "confidence", "support"), "url-mined")
 
 
 def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
