@@ -67,6 +67,20 @@ def release(*tables: DataFrame) -> None:
             _written[:] = [w for w in _written if not path.endswith(w[1].rsplit("/", 1)[-1])]
 
 
+def mark() -> int:
+    """For ``release_since``: what is written from here on."""
+    return len(_written)
+
+
+def release_since(at: int, *keep: DataFrame) -> None:
+    """Delete the tables written since ``mark`` gave ``at``, but for ``keep``."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
+    for spark, path in _written[at:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            remove(spark, path)
+    _written[at:] = [w for w in _written[at:] if w[1].rsplit("/", 1)[-1] in kept]
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, with as many underscores as make it differ from ``taken``."""
     low = {t.lower() for t in taken}

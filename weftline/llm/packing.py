@@ -5,10 +5,13 @@ sentence ends (a small truncation penalty) or, where neither comes for a while,
 larger one). ``best[j]``, the least padding plus penalties up to boundary j, is the minimum over the
 boundaries of the last ``size`` ids; a monotone queue over ``best[i] + position[i]`` yields it in
 constant time. Windows whose length is a power of two need no padding and are tried as well. A stream is
-solved buffer by buffer; the last windows of a buffer go into the next one, so seams cost nothing.
+solved buffer by buffer; the last windows of a buffer go into the next one and are solved again, so seams cost
+next to nothing (a test holds the padding against that of a stream solved whole). Memory is bounded by one buffer
+and the longest document.
 
-Null texts are empty; a document always has its closing id. Null or repeated ids are kept as they come;
-an empty table gives no pieces. Memory is bounded by one buffer and the longest document.
+Awkward rows: null and empty texts are their closing id; very long texts are cut into as many pieces as they need,
+none of their ids is dropped; null and repeated ids are kept as they come; of windows that cost the same (ties) the
+longest wins; an empty table gives no pieces; other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations

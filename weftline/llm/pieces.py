@@ -129,13 +129,14 @@ class Pieces:
     def search(self, part: str, n: int) -> list[tuple[float, list[int], int]]:
         """The ``n`` best (score, ids, unknown characters), best first; ties by fewer pieces.
 
-        ``edges`` holds the lattice by end, ``ahead`` the forward Viterbi score of each prefix.
+        ``edges`` holds the lattice by end; ``ahead`` and ``fewest`` are the forward Viterbi score of each prefix and the
+        least number of pieces with it. Both are exact, so a hypothesis never has to be left for one as good.
         """
         length, nodes, longest = len(part), self.nodes, self.longest
         edges: list[list[tuple[int, float, int]]] = [[] for _ in range(length + 1)]
-        ahead = [0.0] + [float("-inf")] * length
+        ahead, fewest = [0.0] + [float("-inf")] * length, [0] * (length + 1)
         for i in range(length):
-            base = ahead[i]
+            base, count = ahead[i], fewest[i] + 1
             for j in range(i + 1, min(length, i + longest) + 1):
                 node = nodes.get(part[i:j])
                 if not node and j == i + 1:
@@ -146,30 +147,28 @@ class Pieces:
                     goes_on = True
                 if node:
                     edges[j].append((i, *node))
-                    if base + node[0] > ahead[j]:
-                        ahead[j] = base + node[0]
+                    total = base + node[0]
+                    if total > ahead[j] or (total == ahead[j] and count < fewest[j]):
+                        ahead[j], fewest[j] = total, count
                 if not goes_on:
                     break
-        heap, order, out = [(-ahead[-1], 0, 0, length, 0.0, None)], 0, []
+        heap, order, out = [(-ahead[-1], fewest[-1], length, 0, 0, 0.0, None)], 0, []
         while heap and len(out) < n:
-            _, depth, _, at, behind, tail = heappop(heap)
+            _, _, at, _, depth, behind, tail = heappop(heap)
             while at:
                 # Follow the best way on at once, and put the others on the heap.
                 best, depth = None, depth + 1
                 for i, s, piece in edges[at]:
                     total = behind + s
-                    cost = -(total + ahead[i])
-                    if best is None or cost < best[0]:
-                        if best is not None:
-                            heappush(heap, best)
-                        order += 1
-                        best = (cost, depth, order, i, total, (piece, i, at, tail))
-                    else:
-                        order += 1
-                        heappush(heap, (cost, depth, order, i, total, (piece, i, at, tail)))
+                    order += 1
+                    way = (-(total + ahead[i]), depth + fewest[i], i, order, depth, total, (piece, i, at, tail))
+                    if best is None or way < best:
+                        best, way = way, best
+                    if way is not None:
+                        heappush(heap, way)
                 if heap and heap[0] < best:
                     best = heapreplace(heap, best)
-                _, depth, _, at, behind, tail = best
+                _, _, at, _, depth, behind, tail = best
             ids, unknown = [], 0
             while tail:
                 piece, start, end, tail = tail
