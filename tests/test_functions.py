@@ -9,10 +9,11 @@ from weftline.functions import hosts as H
 from weftline.functions import markdown as M
 from weftline.functions import text as T
 from weftline.functions import urls as U
+from weftline.functions import whatwg
 from weftline.functions.html_tree import parse
 from weftline.functions.xpath import compile_path, select, text_of
 from weftline.operators import cache, evaluate, fusion, layout
-from weftline.plans import catalog, fetch
+from weftline.plans import catalog, fetch, settings
 from weftline.sources import pdf_text, serp
 from weftline.streaming import windowed_counts
 
@@ -24,7 +25,7 @@ def column(spark, values, f, kind="string"):
 
 def test_urls(spark):
     given = ["https://x.com/a?utm_source=rss&utm_medium=feed&b=7", "https://x.com/p?utm_source=rss", "https://x.com/a#section", "https://X.com:443/a", "http://x.com:80", "https://x.com:8443/a", "not a url", "", "https://x.com/?Fbclid=1&q"]
-    want = ["https://x.com/a?b=7", "https://x.com/p", "https://x.com/a", "https://x.com/a", "http://x.com/", "https://x.com:8443/a", "not a url", "", "https://x.com/?q"]
+    want = ["https://x.com/a?b=7", "https://x.com/p", "https://x.com/a", "https://x.com/a", "http://x.com/", "https://x.com:8443/a", "not a url", "", "https://x.com/?q="]
     once = column(spark, given, U.canonicalize)
     assert once == want and column(spark, once, U.canonicalize) == want
     assert column(spark, ["https://news.bbc.co.uk/x", "not a url", "http://www.a.b.org"], U.registrable_domain) == ["bbc.co.uk", "", "b.org"]
@@ -32,8 +33,14 @@ def test_urls(spark):
     assert column(spark, ["example.com:8443/p", "example.com:99999", "mailto:a@b.c", "/login"], U.normalize_scheme) == ["https://example.com:8443/p", "example.com:99999", "mailto:a@b.c", "/login"]
     ips = ["8.8.8.8", "127.0.0.1", "10.1.2.3", "100.64.0.1", "172.31.0.1", "172.32.0.1", "224.0.0.1", "256.1.1.1", "01.2.3.4", "::1"]
     assert column(spark, ips, U.is_public_ipv4) == [True, False, False, False, False, True, False, False, False, False]
-    verdicts = column(spark, ["", "http://a b", "ftp://a.org/", "http://u:p@a.org/", "http://a.org:70000/", "http://bad.a.org/", "http://ok.a.org/", "http://xa.org/"], lambda c: U.check_access(c, ["a.org"], ["bad.a.org"]))
-    assert [v["allowed"] for v in verdicts] == [False] * 6 + [True, False]
+    verdicts = column(spark, ["", "http://a b", "ftp://a.org/", "http://u:p@a.org/", "http://a.org:70000/", "http://bad.a.org/", "http://ok.a.org/", "http://xa.org/", None, "a.org", " http://a.org\t"], lambda c: U.check_access(c, ["a.org"], ["bad.a.org"]))
+    assert [v["reason"] for v in verdicts] == [U.EMPTY, U.BAD_CHARS, U.BAD_SCHEME, U.CREDENTIALS, U.BAD_HOST, U.BY_POLICY + "bad.a.org.", "", U.BY_POLICY + "xa.org.", U.EMPTY, U.BAD_HOST, ""]
+    assert [v["allowed"] for v in verdicts] == [v["reason"] == "" for v in verdicts]
+    every = ["https://x.com/a/../b c?q=a%20b&utm_source=z#f", "HTTPS://User:Pa@X.com:443/", "http://0x7f.1/", "http://[::FFFF:1.2.3.4]:80/", "http://\u00e9.com/\u00fc", "https://x.com?utm_a=1", "http://x.com/%7Eu/./a/%2e%2E/b", "https://x.com/a\\b?x='1'", "http://256.1.1.1/", "//x.com/a", "mailto:a@b", "http:x.com/y", "http://x.com/?", None, "https://a.x.com/p/q.html?page=2&ref=x#top"]
+    form = ["https://x.com/b%20c?q=a+b", "https://User:Pa@x.com/", "http://127.0.0.1/", "http://[::ffff:102:304]/", "http://xn--9ca.com/%C3%BC", "https://x.com/", "http://x.com/%7Eu/b", "https://x.com/a/b?x=%271%27", "http://256.1.1.1/", "//x.com/a", "mailto:a@b", "http://x.com/y", "http://x.com/?", None, "https://a.x.com/p/q.html?page=2&ref=x"]
+    assert column(spark, every, U.canonicalize) == form and [None if u is None else whatwg.canonical_href(u) for u in every] == form
+    seen = [("/x", "https://a.com/b/c?q", "https://a.com/x"), ("../y", "https://a.com/b/c/d", "https://a.com/b/y"), ("?z", "https://a.com/b", "https://a.com/b?z"), ("//o.com", "https://a.com", "https://o.com/"), ("http:rel", "http://a.com/b/c", "http://a.com/b/rel"), ("#g", "https://a.com/b?q", "https://a.com/b?q#g"), ("", "https://a.com/b?q#f", "https://a.com/b?q"), ("x", "mailto:y", None)]
+    assert [whatwg.resolve(t, b) for t, b, _ in seen] == [w for *_, w in seen]
     assert column(spark, ["http://a.org/"], lambda c: U.policy_allows(U.host(c), [f"d{i}.org" for i in range(101)], [])) == [False]
     assert column(spark, ["transformer"], lambda c: U.scope_query(c, ["arxiv.org"])) == ["transformer (site:arxiv.org)"]
     assert column(spark, ["q"], lambda c: U.scope_query(c, [f"d{i}.org" for i in range(20)]))[0].count("site:") == 8
@@ -49,8 +56,8 @@ def test_hosts(spark):
     private = ["127.0.0.1", "::", "::1", "::ffff:8.8.8.8", "0:0:0:0:0:ffff:7f00:1", "fe80::1%eth0", "fe80::1", "fc00::1", "fd12::1", "ff02::1", "2001:1::1", "2001:2::1", "2001:db8::1", "64:ff9b::1", "2002::1", "2001::1", "x", ""]
     assert column(spark, [*public, *private, None], H.is_public_ip) == [True] * len(public) + [False] * (len(private) + 1)
     assert column(spark, ["[::1]", "::1", "a"], H.strip_brackets) == ["::1", "::1", "a"]
-    verdicts = column(spark, ["http://[2606:4700::1]:80/", "http://münchen.de/", "http://-a.org/"], lambda c: U.check_access(c, [], [], H.normalize_domain(U.host(c))), "string")
-    assert [(v["allowed"], v["host"]) for v in verdicts] == [(True, "2606:4700::1"), (True, "xn--mnchen-3ya.de"), (False, "-a.org")]
+    verdicts = column(spark, ["http://[2606:4700::1]:80/", "http://münchen.de/", "http://-a.org/"], lambda c: U.check_access(c))
+    assert [(v["allowed"], v["host"]) for v in verdicts] == [(True, "2606:4700::1"), (True, "xn--mnchen-3ya.de"), (False, "")]
 
 
 def test_policies(spark):
@@ -61,9 +68,9 @@ def test_policies(spark):
         H.policy_prompt(["a b.com/"], [])
     raw = spark.createDataFrame([(u, 200, "text/plain", b"some text") for u in ("http://www.münchen.de/", "http://a.org/", "http://a_b.org/")], "url string, status int, content_type string, body binary")
     errors = lambda *policy: [r["error"] for r in fetch.read_pages(raw, *policy).orderBy(F.desc("url")).collect()]
-    assert errors() == [None, "Blocked: invalid host", None]
-    assert errors(["München.de"], []) == [None, "Blocked: invalid host", "Blocked: blocked by website policy"]
-    assert errors([], ["http://x"]) == ["Blocked: blocked by website policy"] * 3
+    assert errors() == [None, U.BAD_HOST, None]
+    assert errors(["München.de"], []) == [None, U.BAD_HOST, U.BY_POLICY + "a.org."]
+    assert errors([], ["http://x"]) == [U.BY_POLICY + "www.xn--mnchen-3ya.de.", U.BAD_HOST, U.BY_POLICY + "a.org."]
 
 
 def test_bodies(spark):
@@ -77,10 +84,10 @@ def test_bodies(spark):
     cut = T.decompress_bytes(noise[: len(noise) // 2], "gzip")
     assert cut and bytes(i * i % 251 for i in range(400_000)).startswith(cut)
     assert T.decompress_bytes(packed, "gzip", 1000) == plain[:1000]
-    page = b"<html><title>T</title><body><p>" + b"words to read " * 30 + b"</p></body></html>"
+    page = b"<html><head><title>T</title></head><body><p>" + b"words to read " * 30 + b"</p></body></html>"
     rows = [("http://a.org/1", 200, "text/html", gzip.compress(page), "gzip"), ("http://a.org/2", 200, "text/html", b"junk", "gzip"), ("http://a.org/3", 200, "text/html", page, None)]
     read = {r["url"][-1]: (r["error"], r["title"]) for r in fetch.read_pages(spark.createDataFrame(rows, "url string, status int, content_type string, body binary, content_encoding string")).collect()}
-    assert read == {"1": (None, "T"), "2": ("unreadable body", ""), "3": (None, "T")}
+    assert read == {"1": (None, "T"), "2": (None, ""), "3": (None, "T")}
     assert column(spark, ["<NOSCRIPT x><p>a &amp;\n b</p></noscript>c<noscript>d</noscript>", "none", None], T.noscript_text) == ["a & b d", "", None]
     assert column(spark, [404, 799], fetch.status_message, "int") == ["Failed to fetch URL: HTTP 404 Not Found", "Failed to fetch URL: HTTP 799"]
     assert "from 1970-01-02 " in column(spark, [86_400_000], cache.stale_notice, "long")[0]
@@ -92,70 +99,47 @@ def test_text(spark):
     assert [T.normal_text(x) for x in ("  <b>Hello</b>   &amp;   world  ", "café", "line​break", "a\0b\x1fc")] == ["Hello & world", "café", "linebreak", "abc"]
     assert column(spark, ["&notit; &notin; &ampx &#128; &#0; &nosuch;"], T.decode_entities) == ["¬it; ∉ &x € � &nosuch;"]
     assert column(spark, ["a \n b"], T.collapse_whitespace) == ["a b"]
-    assert column(spark, ["", None, "abcdef"], lambda c: T.truncate_text(c, 3)) == [T.NO_CONTENT, T.NO_CONTENT, "abc... (truncated, 6 chars total)"]
-    assert column(spark, ["\0" * 125 + "a" * 875, "\0" * 130 + "a" * 870], T.looks_binary) == [False, True]
-    assert column(spark, ["text/html", "application/pdf", "image/svg+xml", None], T.is_text_type) == [True, False, False, True]
-    assert column(spark, ["see [a](http://x(y)z) b\n\n c"], T.visible_chars) == [9]
-    assert T.decode_bytes(b"\xa1", "tis-620") == "ก" and T.decode_bytes(b"\xff", "nope") == "�" and T.decode_bytes("é".encode("cp1252"), "latin1") == "é"
-    bodies = [b"\xef\xbb\xbfx", b"<meta charset=tis-620>", b"plain"]
+    assert column(spark, ["", None, "abc def"], lambda c: T.truncate_text(c, 4)) == [T.NO_CONTENT, T.NO_CONTENT, "abc \n\n... (truncated, 7 chars total)"]
+    assert column(spark, ["abcdef\n\n" + T.CUT], lambda c: T.truncate_text(c, 3)) == [f"abc\n\n... (truncated, {8 + len(T.CUT)} chars total)\n\n{T.CUT}"]
+    assert column(spark, ["\0" * 125 + "a" * 875, "\0" * 130 + "a" * 870, "\x1b" * 500, "\x0b\x80" * 60], T.looks_binary) == [False, True, False, True]
+    assert column(spark, ["text/html", "application/pdf", "image/svg+xml", None, "application/vnd.apple.installer+xml", "application/octet-stream", "junk"], T.is_text_type) == [True, False, False, True, False, True, True]
+    assert column(spark, ["see [a](http://x(y)z) b\n\n c"], M.visible) == [10]
+    assert T.decode_bytes(b"\xa1", "tis-620") == "ก" and T.decode_bytes(b"\xff", "nope") == "ÿ" and T.decode_bytes("é".encode("cp1252"), "iso8859-1") == "é" and T.decode_bytes(b"\x80\x81", "cp1252") == "€\x81"
+    assert T.decode_bytes(b"\xff\xfe\0\0x\0\0\0\0\xd8\0\0\0\0\0\0zz", "utf-32le") == "x��" and T.decode_bytes("\ufeffx".encode("utf-8"), "utf-8") == "x"
+    bodies = [b"\xef\xbb\xbfx", b"<html><meta charset=tis-620>", b"plain"]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b binary")
-    assert [r[0] for r in df.orderBy("i").select(T.codec_of(F.col("b"), F.lit("text/html"))).collect()] == ["utf-8", "tis-620", "utf-8"]
-    assert [r[0] for r in spark.createDataFrame([(b"  %PDF-1.4",), (b"text",)], "b binary").select(T.magic_of(F.col("b")).isNotNull()).collect()] == [True, False]
-
-
-@pytest.mark.parametrize(
-    ("page", "has", "lacks"),
-    [
-        ("<h1>Title</h1><p><strong>bold</strong> and <em>italic</em> <a href='https://x.com'>link</a></p>", ["# Title", "**bold**", "*italic*", "[link](https://x.com)"], []),
-        ("<ul><li>one</li><li>two</li></ul><ol start=3><li>first</li></ol><blockquote>quoted</blockquote><pre>a  b</pre>", ["* one", "* two", "3. first", "> quoted", "```\na  b\n```"], []),
-        ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>x|y</td></tr></table>", ["| a | b |", "| --- | --- |", "| 1 | x\\|y |"], []),
-        ("<p>&amp<b>x</b></p>", ["&**x**"], []),
-        ("<p hidden>gone</p><p aria-hidden=true>gone</p><p style='display: none !important'>gone</p><p aria-hidden=false>kept</p>", ["kept"], ["gone"]),
-        ("<nav>menu</nav><script>var x</script><p>text</p><footer>foot</footer>", ["text"], ["menu", "var", "foot"]),
-        (f"<article>{'word ' * 100}</article><p>aside text</p>", ["word word"], ["aside"]),
-        ("".join(f"<article>card{i} {'word ' * 60}</article>" for i in range(5)), ["card0", "card4"], []),
-        (f"<header>{'<a href=/x>a link here</a> ' * 30}<h1>Name</h1></header><p>body</p>", ["# Name", "body"], ["a link here"]),
-        ("<p>Sign in</p><p>You can sign in with a key.</p><pre>Sign in</pre>", ["You can sign in", "```\nSign in"], []),
-        ("<p>a < b<p>c", ["a < b", "c"], []),
-    ],
-)
-def test_markdown(page, has, lacks):
-    out = M.to_markdown(page)
-    for x in has:
-        assert x in out, out
-    for x in lacks:
-        assert x not in out, out
-
-
-def test_markdown_is_linear():
-    import time
-
-    def took(n):
-        page = "<div><header>" * n + "x" + "</header></div>" * n
-        began = time.perf_counter()
-        parse(page)
-        return time.perf_counter() - began
-
-    assert took(4000) < 12 * took(1000) + 0.5
-
-
-def test_meta(spark):
-    page = "<title>T &amp; U</title><meta name=author content=A><meta name=author content=B><meta property='article:published_time' content=2024><meta property='og:site_name' content=S><p>text"
-    row = spark.createDataFrame([(page,), (None,)], "h string").select(M.page_struct("h").alias("p")).select("p.*").collect()
+    assert [r[0] for r in df.orderBy("i").select(T.codec_of(F.col("b"), F.lit("text/plain"))).collect()] == ["utf-8", "tis-620", "utf-8"]
+    assert [r[0] for r in spark.createDataFrame([(b"  %PDF-1.4",), (b"text",), (b"BZh9",), (b"Rar!",)], "b binary").select(T.magic_of(F.col("b")).isNotNull()).collect()] == [True, False, True, False]
+    starts = {"<!-- a --><?x?> <HTML>": (True, True), "<aside>": (True, False), "</html>": (True, True), "<div>": (False, False), "<!-- open <html>": (False, False), "<pre>": (True, False), "": (False, False), "\f<!doctype  html>": (True, True)}
+    assert {t: (T.looks_like_html_text(t), T.looks_like_html_document_text(t)) for t in starts} == starts
+    assert column(spark, list(starts), T.looks_like_html) == [h for h, _ in starts.values()] and column(spark, list(starts), T.looks_like_html_document) == [d for _, d in starts.values()]
+
+
+def test_page_columns(spark):
+    page = "<head><title>T &amp; U</title><meta name=author content=A><meta name=author content=B><meta property='article:published_time' content=2024><meta property='og:site_name' content=S></head><p>text"
+    row = spark.createDataFrame([(page,), ("",)], "h string").select(M.page_struct("h").alias("p")).select("p.*").collect()
     assert row[0]["text"] == "Title: T & U\nAuthor: A\nDate: 2024\nSite: S\n\ntext" and row[1]["text"] == ""
     spa = "<title>t</title><div id='root'></div><script></script>"
-    hints = spark.createDataFrame([(spa, "Title: t"), ("<p>", ""), ("<p>", "x " * 300)], "h string, t string").select(M.render_hint(F.col("h"), F.col("t"))["reason"]).collect()
-    assert [h[0] for h in hints] == ["js-shell", "empty", None]
+    hints = spark.createDataFrame([(spa, "Title: t"), ("<p>", ""), ("<p>", "x " * 300), (None, None)], "h string, t string").select(M.render_hint(F.col("h"), F.col("t")).alias("h")).select("h.reason", "h.evidence").collect()
+    assert [tuple(h) for h in hints] == [("js-shell", ["spa-markers"]), ("empty", []), (None, None), (None, None)]
 
 
 def test_xpath_and_serp(spark):
     root = parse("<ul><li class=a>1</li><li class='a b'>2<br>x</li></ul><ul><li class=a>3</li></ul>")
-    assert [n.text() for n in select(root, compile_path("//li[contains(@class,'a') and position()=last()]"))] == ["2x", "3"]
+    found = lambda path: [n if isinstance(n, str) else n.text() for n in select(root, compile_path(path))]
+    assert found("//ul/li[contains(@class,'a') and position()=last()]") == ["2x", "3"] and found("//li[last()]") == ["3"]
     assert text_of(root, "//li[(@class='a' or contains(@class,'b')) and not-there]") == "" and text_of(root, "//li[@class='a']/@class") == "aa"
+    assert found("//ul[.//li[@class='never']]/li[br]/text()") == ["2x"] and found("//ul[./li][@x]") == []
+    assert parse("<a><img><b>x</a>").children[0].children[0].children[0].tag == "b"  # void elements hold what follows
+    assert {e.items for e in serp.ENGINES.values()} >= {"//div[contains(@class, 'result')][./a]", "//li[.//h3[@class='title']]"}
     page = '<div class="result body"><h2><a href="https://in.example/">Example <b>Page</b></a></h2><a href="https://out.example/a b">A snippet</a></div><div class=body><h2>Ad</h2><a href="https://duckduckgo.com/y.js?x">ad</a></div>'
     assert serp.extract_hits(page, "duckduckgo") == [("Example Page", "https://out.example/a+b", "A snippet")]
-    rows = serp.serp_hits(spark.createDataFrame([("q", "duckduckgo", page), ("q", "other", page), ("q", "yahoo", None)], "query string, engine string, html string")).collect()
-    assert len(rows) == 1 and rows[0]["rank"] == 1
+    assert serp.extract_hits(page.replace("body", "result-wrapper").replace("<h2>", "<div class=title>").replace("</h2>", "</div>"), "brave")[1][0] == "Ad"
+    own = serp.ENGINES | {"mine": serp.Engine("me", "//p", ".//b//text()", "./a/@href", "./a//text()", 9)}
+    pages = spark.createDataFrame([("q", "duckduckgo", page), ("q", "other", page), ("q", "yahoo", None), ("q", "mine", "<p><b>t</b><a href=u>x</a></p>")], "query string, engine string, html string")
+    rows = serp.serp_hits(pages, own).collect()
+    assert [(r["engine"], r["rank"], r["title"]) for r in rows] == [("duckduckgo", 1, "Example Page"), ("mine", 1, "t")]
+    assert serp.selected(["x"]) == ["duckduckgo", "startpage"] and serp.selected(["brave"], rendering=True) == ["brave"]
 
 
 HIT = "query string, engine string, ord int, rank int, title string, href string, body string"
@@ -176,16 +160,24 @@ def test_fusion(spark):
     )
     top = fusion.fuse(hits, limit=10).orderBy("place").collect()
     assert [r["canon"] for r in top] == ["https://f.com/z", "https://e.com/x", "https://e.com/y"]
-    assert top[0]["title"] == "both long" and top[0]["score"] == pytest.approx(1 / 63 + 1 / 61, abs=1e-11)
+    assert top[0]["title"] == "both long" and [r["href"] for r in top] == [r["canon"] for r in top] and top[0]["score"] == pytest.approx(1 / 63 + 1 / 61, abs=1e-11)
     assert [r["canon"] for r in fusion.fuse(hits, per_domain=1).orderBy("place").collect()] == ["https://f.com/z", "https://e.com/x"]
     assert fusion.fuse(hits.repartition(7), limit=10).orderBy("place").collect() == top
     text = fusion.format_results(fusion.fuse(hits.withColumn("title", F.lit("x\nURL: evil")), limit=1)).first()["text"]
-    assert text.count("\nURL: ") == 1
+    assert text.count("\nURL: ") == 1 and text.endswith("\n\n---\n\n" + fusion.CLOSING)
+    assert [fusion.clamp_results(n) for n in (None, float("nan"), 0, 3.9, 99, float("inf"))] == [5, 5, 1, 3, 20, 20] and [fusion.positive(n) for n in (2.9, 0.5, -1, True, "3", float("inf"))] == [2, None, None, None, None, None]
 
 
-def test_evaluate_and_cache(spark):
+def test_evaluate_and_cache(spark, tmp_path):
     runs = spark.createDataFrame([("e", v) for v in (1, 2, 3, 4)], "engine string, ms int")
     assert evaluate.upper_median(runs, "engine", "ms").first()["median"] == 3
+    gold = spark.createDataFrame([("q", "a.org"), ("q", "b.org")], "query string, expected string")
+    top = spark.createDataFrame([("e", "q", "a.org"), ("e", "q", "x.b.org"), ("e", "q", "c.org"), ("e", "q", "xa.org"), ("e", "r", "a.org")], "engine string, query string, domain string")
+    assert evaluate.precision(top, gold, top, ["engine"]).first()["precision"] == 0.25
+    runs = spark.createDataFrame([("q", "a", 7, "", 2, "t2", "h2", "b"), ("q", "a", 7, "", 1, "t1", "h1", "b"), ("q", "b", 9, "timed out", None, None, None, None)], "query string, engine string, ms long, error string, rank int, title string, href string, body string")
+    evaluate.write_runs(runs, str(tmp_path / "runs"))
+    again = evaluate.read_runs(spark, str(tmp_path / "runs")).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, runs.collect()), key=repr)
     entries = spark.createDataFrame([(f"old-{i:03d}", i, 1) for i in range(140)] + [("new", 10_000, 1)], "key string, ts_ms long, size long")
     kept = {r["key"] for r in cache.prune(entries, 10_001).collect()}
     assert len(kept) == 128 and "new" in kept and "old-000" not in kept and "old-139" in kept
@@ -193,59 +185,99 @@ def test_evaluate_and_cache(spark):
     assert tuple(fresh) == (True, False)
 
 
+SPAN = "doc string, page int, ord int, block long, x0 double, y0 double, x1 double, y1 double, size double, text string, bold boolean, italic boolean, mono boolean"
+
+
+def span(ord, x, y, text, page=1, size=12.0, width=40, bold=False, italic=False, mono=False, block=0):
+    return ("d", page, ord, block, float(x), float(y), float(x + width), float(y + 12), size, text, bold, italic, mono)
+
+
 def test_layout(spark):
-    spans = spark.createDataFrame([("d", 1, 0.0, 0.0, 5.0, 10.0, 12.0, "a"), ("d", 1, 6.0, 1.0, 9.0, 11.0, 12.0, "b"), ("d", 1, 0.0, 30.0, 5.0, 42.0, 24.0, "c")], "doc string, page int, x0 double, y0 double, x1 double, y1 double, size double, text string")
-    assert [r["text"] for r in layout.merge_lines(spans).orderBy("line").collect()] == ["a b", "c"]
-    assert layout.heading_levels(spans, ["doc"], F.col("size"), F.lit(1)).first()["level"] == 1
-    lines = spark.createDataFrame([(p, t, b) for p in range(4) for t, b in (("footer", 9), (f"text {p}", 1))], "page int, text string, bucket int").withColumn("doc", F.lit("d"))
-    assert {r["text"] for r in layout.strip_running(lines, ["doc"]).collect()} == {f"text {p}" for p in range(4)}
+    rows = [span(0, 0, 0, "a"), span(1, 60, 1, "b"), span(2, 100.5, 2, "c"), span(3, 0, 30, "T", size=24.0), span(4, 0, 60, " "), span(5, 0, 60, "w", width=0), span(6, 200, 32, "x", bold=True)]
+    lines = layout.merge_lines(spark.createDataFrame(rows, SPAN)).orderBy("line").collect()
+    assert [(r["text"], len(r["spans"])) for r in lines] == [("a bc", 2), ("T x", 2)]
+    same = lambda *texts: [{"x0": 40.0 * k, "y0": 0.0, "x1": 40.0 * k + 40, "y1": 9.0, "size": 12.0, "text": t, "bold": False, "italic": False, "mono": False, "block": 0} for k, t in enumerate(texts)]
+    assert [s["text"] for s in layout.sanitize(same("a", "b", "b"))] == ["ab"] and [s["text"] for s in layout.sanitize(same("a", "a"))] == ["a"]
     bands = spark.createDataFrame([("d", 1, i, n) for i, n in enumerate([1, 3, 3, 1, 2, 1])], "doc string, page int, line int, spans int")
     assert [(r["first"], r["last"]) for r in layout.table_bands(bands).collect()] == [(1, 2)]
 
 
-def test_fetch(spark):
-    raw = [("https://a.org/", 200, "text/html", b"<html><title>T</title><p>hello"), ("https://a.org/404", 404, "text/html", b"x"), ("ftp://a.org/", 200, "text/html", b"x"), ("https://a.org/p", 200, "text/plain", b"%PDF-1"), ("https://a.org/i", 200, "image/png", b"x"), ("https://a.org/t", 200, "text/plain", b" plain ")]
+def pages_of(spark, rows, n, plain=""):
+    pages = spark.createDataFrame([("d", p, 800.0, plain) for p in range(1, n + 1)], "doc string, page int, height double, plain string")
+    return layout.assemble(layout.page_texts(spark.createDataFrame(rows, SPAN), pages)).first()["text"]
+
+
+def test_running_lines(spark):
+    body = [span(1, 0, 400, f"Body {p}.", p) for p in (1, 2, 3, 4)]
+    foot = [span(2, 0, 780, "Company report", p) for p in (1, 2, 3, 4)]
+    text = pages_of(spark, body + foot + [span(3, 300, 760, str(p), p) for p in (1, 2, 3, 4)], 4)
+    assert "Company" not in text and text.count("Body") == 4 and "\n1" not in text
+    assert "Once" in pages_of(spark, body + [span(2, 0, 780, "Once", 1)], 4)  # on one page only
+    assert "Company" in pages_of(spark, body[:1] + foot[:1], 1)  # one page has no running lines
+    assert pages_of(spark, body + [span(2, 0, 300, "Middle", p) for p in (1, 2, 3, 4)], 4).count("Middle") == 4  # not at the edge
+    number = pages_of(spark, body + [span(2, 0, 780, "Foot", p) for p in (1, 2, 3)] + [span(2, 0, 780, "42", 4)], 4)
+    assert "42" in number and "Foot" not in number  # one number where others stand
+    assert pages_of(spark, body[:1] + [span(2, 0, 780, "Twice", 1), span(3, 0, 781, "x", 1)], 3).count("Twice") == 1
+
+
+def test_page_markdown(spark):
+    rows = [span(0, 0, 100, "A Title", size=24.0, bold=True), span(1, 0, 114, "goes on", size=24.0, bold=True), span(2, 0, 140, "Plain text with"), span(3, 60, 140, "bold", bold=True), span(4, 0, 154, "• item"), span(5, 24, 168, "code()", mono=True), span(6, 0, 182, "after", block=1), span(7, 0, 220, "A"), span(8, 100, 220, "B"), span(9, 0, 234, "1"), span(10, 100, 234, "2")]
+    text = pages_of(spark, rows, 1)
+    assert text.startswith("## Page 1\n\n# **A Title** **goes on**\n") and "Plain text with **bold** \n" in text and "- item \n" in text and "```\n    code()\n```\n" in text and "|A|B|\n|---|---|\n|1|2|\n" in text
+    many = pages_of(spark, [span(0, 0, 400, f"Page text {p}", p) for p in range(1, 53)], 52)
+    assert many.endswith("... (PDF extraction is capped at 50 pages)") and "Page text 51" not in many
+    plain = "plain letters " * 20
+    assert pages_of(spark, [span(0, 0, 400, "few")], 1, plain).startswith("## Page 1\n\nplain letters")
+    assert pages_of(spark, [span(0, 0, 400, "\ufffd" * 6)], 1, "whole") == "## Page 1\n\nwhole"
+
+
+def test_fetch(spark, tmp_path):
+    raw = [("https://a.org/", 200, "text/html", b"<html><head><title>T</title></head><p>hello"), ("https://a.org/404", 404, "text/html", b"x"), ("ftp://a.org/", 200, "text/html", b"x"), ("https://a.org/p", 200, "text/plain", b"%PDF-1"), ("https://a.org/i", 200, "image/png", b"x"), ("https://a.org/t", 200, "text/plain", b" plain ")]
     got = {r["url"]: r for r in fetch.read_pages(spark.createDataFrame(raw, "url string, status int, content_type string, body binary")).collect()}
     assert got["https://a.org/"]["text"] == "Title: T\n\nhello" and got["https://a.org/t"]["text"] == "plain"
-    assert [got[u]["error"] for u in ("https://a.org/404", "https://a.org/p", "https://a.org/i")] == ["HTTP 404", "binary content", "unsupported content type"]
-    assert got["ftp://a.org/"]["error"].startswith("Blocked")
+    assert [got[u]["error"] for u in ("https://a.org/404", "https://a.org/p", "https://a.org/i")] == ["Failed to fetch URL: HTTP 404 Not Found", "(PDF content could not be read as text)", "(non-text content: image/png, 1 bytes; not readable as text)"]
+    assert got["ftp://a.org/"]["error"] == U.BAD_SCHEME
     hosts = spark.createDataFrame([("h", "2001:db8::1", 6, 0), ("g", "8.8.4.4", 4, 1), ("g", "8.8.8.8", 4, 0), ("p", "10.0.0.1", 4, 0)], "host string, ip string, family int, ord int")
     assert {r["host"]: (r["public"], r["ip"]) for r in fetch.host_verdicts(hosts).collect()} == {"h": (False, "2001:db8::1"), "g": (True, "8.8.8.8"), "p": (False, "10.0.0.1")}
     tried = spark.createDataFrame([("u", 1, None, "HTTP 500"), ("u", 2, "ok", None)], "url string, attempt int, text string, error string")
     assert fetch.first_success(tried).first()["text"] == "ok"
-    settings = spark.createDataFrame([(0, '{"a": {"b": 1}}'), (1, '{"c": 2}')], "precedence int, json string")
-    assert {r["key"]: r["value"] for r in fetch.layered_settings(settings, {"x": ["a.b", "c"]}).collect()} == {"x": "2"}
-    done = fetch.escalate(tried.where("attempt = 1").withColumn("error", F.lit("HTTP 403 x")), spark.createDataFrame([("u", "rendered")], "url string, text string")).first()
-    assert done["text"] == "rendered" and done["error"] is None
+    assert [fetch.refresh_of(p) for p in ("<meta http-equiv=refresh content='0; url=\"/x\"'>", "<meta http-equiv='REFRESH' content='5'>", "<p>refresh", "<script><meta http-equiv=refresh content='0;url=/x'></script>")] == ["/x", None, None, None]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.HTM").write_bytes(b"plain words")
+    (tmp_path / "in" / "b.txt").write_bytes("é".encode("utf-16"))
+    (tmp_path / "in" / "c.bin").write_bytes(bytes(100))
+    files = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in fetch.scan_files(spark, str(tmp_path / "in")).collect()}
+    assert files == {"a.HTM": "plain words", "b.txt": "é", "c.bin": "(binary content, 100 bytes; not readable as text)"}
+    names = [str(tmp_path / n) for n in ("one.json", "none.json", "two.json")]
+    (tmp_path / "one.json").write_text('{"webFetch": {"maxChars": 5}, "webSearch": {"engines": ["a"]}}')
+    (tmp_path / "two.json").write_text('{"webTools": {"maxChars": -1, "timeoutMs": 2000}}')
+    held = {r["key"]: r["value"] for r in settings.read_settings(spark, names).collect()}
+    assert held["max_chars"] == "5" and held["timeout_ms"] == "2000" and held["engines"] == '["a"]' and held["transport"] == "tls-first"
 
 
 def test_page_fetch_returns_whole_texts(spark, tmp_path):
     text = " ".join(f"word{i}" for i in range(5000))
-    spark.createDataFrame([("https://a.org/", f"<!doctype html><html><p>{text}")], "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert len(text) > 20_000 and catalog.page_fetch(spark, str(tmp_path)).first()["text"] == text
+    spark.createDataFrame([("https://a.org/", f"<!doctype html><html><head><title>T</title></head><article><p>{text}</article>")], "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(text) > 20_000 and catalog.catalog_pages.page_fetch(spark, str(tmp_path)).first()["text"].endswith(text)
     raw = spark.createDataFrame([("https://a.org/", 200, "text/plain", text.encode())], "url string, status int, content_type string, body binary")
-    assert fetch.read_pages(raw, most=10).first()["text"] == text[:10] + f"... (truncated, {len(text)} chars total)"
-
-
-def test_boilerplate_lines_follow_the_operator(spark, tmp_path):
-    docs = [(1, "Skip to content\ntext\n```\nread more\n```\n**Read more!**\nWe use cookies. Back to top."), (2, "licensed under the MIT license"), (3, None)]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(r) for r in catalog.boilerplate_lines(spark, str(tmp_path)).collect()]
-    assert sorted(got) == [(1, "**Read more!**"), (1, "Skip to content"), (1, "We use cookies. Back to top.")]
+    assert fetch.read_pages(raw, most=10).first()["text"] == text[:10] + f"\n\n... (truncated, {len(text)} chars total)"
 
 
-def test_entity_decode_reads_whole_pages(spark, tmp_path):
-    pages = [(1, "<title>a &amp; b</title><article class='x'>c &lt; d</article> &copy;"), (2, "<p>&eacute;"), (3, None)]
-    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert {r["page_id"]: r["text"] for r in catalog.entity_decode(spark, str(tmp_path)).collect()} == {1: "<title>a & b</title><article class='x'>c < d</article> ©", 2: "<p>é", 3: None}
+def test_boilerplate_lines():
+    text = "Skip to content\ntext\n```\nwe use cookies\n```\nUh oh! Please reload this page.\nSign in\nWe use cookies. Read on."
+    assert M.boilerplate_of(text) == ["Skip to content", "Uh oh! Please reload this page."]
+    assert M.strip_boilerplate("a\n\nSkip to content\n\nb") == "a\n\nb"
 
 
 def test_pdf(spark):
     stream = zlib.compress(b"BT (Hello \\(you\\)) Tj T* [(Wor) -300 (ld)] TJ <414243> Tj ET")
     pdf = b"%PDF-1.4 1 0 obj << /Length 1 /Filter /FlateDecode >> stream\n" + stream + b"\nendstream"
-    files = spark.createDataFrame([("a", pdf), ("b", b"%PDF-1 /Encrypt"), ("c", None)], "path string, content binary")
+    files = spark.createDataFrame([("a", pdf), ("b", b"%PDF-1 /Encrypt stream\nx\nendstream"), ("c", None)], "path string, content binary")
     got = {r["path"]: (r["text"], r["error"]) for r in pdf_text.read_pdfs(files).collect()}
-    assert got == {"a": ("Hello (you)\nWor ldABC", None), "b": ("", "encrypted"), "c": ("", "not a PDF")}
+    assert got == {"a": ("Hello (you)\nWorldABC", None), "b": ("", pdf_text.UNREADABLE), "c": ("", pdf_text.UNREADABLE)}
+    many = b"".join(b"<< >> stream\nBT (p%d) Tj ET\nendstream " % k for k in range(52))
+    assert pdf_text.pdf_text(many).startswith("## Page 1\n\np0\n\n## Page 2") and pdf_text.pdf_text(many).endswith("capped at 50 pages)")
+    assert pdf_text.pdf_text(b"stream\n\nendstream") == "" and pdf_text.stream_text(b"BT (a (b) \\053\\n) Tj ET (no) BT (open") == "a (b) +\nopen"
 
 
 def test_stream(spark, tmp_path):

@@ -10,12 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from weftline.functions.urls import ipv4_number, is_public_ipv4
-
-try:
-    import idna
-except ImportError:  # the standard library's codec knows IDNA 2003 only
-    idna = None
+from weftline.functions.whatwg import compress_groups, to_ascii
 
 # What the compressed text of a non-public IPv6 address starts with (or is).
 NON_PUBLIC_V6 = r"^(::|f[cd]|fe[89a-f][0-9a-f]:|ff|2001:db8|64:ff9b:|2001:10:|2002:|2001:0:|2001::|2001:2:|2001:1::[12]$)"
@@ -29,18 +24,10 @@ def short_ipv6(text: str) -> str | None:
     if "." in text or "%" in text:
         return None
     try:
-        return ipaddress.IPv6Address(text).compressed
+        packed = ipaddress.IPv6Address(text).packed
     except ValueError:
         return None
-
-
-def _ascii(name: str) -> str:
-    if name.isascii():
-        return name
-    try:
-        return (idna.encode(name, uts46=True) if idna else name.encode("idna")).decode("ascii").lower()
-    except UnicodeError:  # IDNAError is one
-        return ""
+    return compress_groups([int.from_bytes(packed[k : k + 2], "big") for k in range(0, 16, 2)])
 
 
 def plain_domain(value: str | None) -> str | None:
@@ -56,7 +43,7 @@ def plain_domain(value: str | None) -> str | None:
             return str(ipaddress.IPv4Address(name))
         except ValueError:
             return None
-    name = _ascii(name)
+    name = to_ascii(name) or ""
     return name if len(name) <= 253 and _LABELS.fullmatch(name) else None
 
 
@@ -102,5 +89,7 @@ def strip_brackets(name: Column) -> Column:
 
 def is_public_ip(ip: Column) -> Column:
     """Of either family; anything that is not an address in plain text is not public."""
+    from weftline.functions.urls import ipv4_number, is_public_ipv4
+
     short = compress_ipv6(ip)
     return F.when(ipv4_number(ip).isNotNull(), is_public_ipv4(ip)).otherwise(F.coalesce(~short.rlike(NON_PUBLIC_V6), F.lit(False)))

@@ -1,33 +1,17 @@
-"""A lenient HTML tree."""
+"""A tree of a page for path expressions: no element ends another, so whatever isn't closed holds what follows."""
 
 from __future__ import annotations
 
-import html
-import re
+from collections import defaultdict
 from collections.abc import Iterator
 
-# Element classes of HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes".split())
-CLOSED_BY = {
-    "p": frozenset("p div ul ol dl table pre blockquote h1 h2 h3 h4 h5 h6 section article header footer nav aside main form hr".split()),
-    "li": frozenset(["li"]),
-    "dt": frozenset(["dt", "dd"]),
-    "dd": frozenset(["dt", "dd"]),
-    "tr": frozenset(["tr", "tbody", "tfoot"]),
-    "td": frozenset(["td", "th", "tr"]),
-    "th": frozenset(["td", "th", "tr"]),
-    "option": frozenset(["option"]),
-}
-BARRIERS = frozenset("table ul ol dl div section article blockquote td th main body".split())
-_MARKUP = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+from weftline.functions.html_events import EMPTY, END, START, events
 
 
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None] | None = None, parent: Node | None = None):
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None):
         self.tag, self.attrs, self.parent = tag, attrs or {}, parent
         self.children: list[Node | str] = []
 
@@ -50,57 +34,21 @@ class Node:
         return "".join(out)
 
 
-def attributes(source: str) -> dict[str, str | None]:
-    out: dict[str, str | None] = {}
-    for name, a, b, c in _ATTR.findall(source):
-        has = a or b or c
-        out.setdefault(name.lower(), html.unescape(has) if has or "=" in source[source.find(name) + len(name) :][:1] else None)
-    return out
-
-
 def parse(page: str) -> Node:
-    """Null-safe and total: malformed tags are text, unclosed elements end with the page."""
+    """Null-safe and total. Elements without content hold what follows, too, until one around them ends; self-closing tags are left out."""
     root = Node("")
-    top, at = root, 0
-    page = (page or "").replace("\r\n", "\n").replace("\r", "\n")
-    low = None
-    while at < len(page):
-        m = _MARKUP.search(page, at)
-        if text := page[at : m.start() if m else len(page)]:
-            top.children.append(html.unescape(text))
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            node = top
-            while node.parent and node.tag != tag:
-                node = node.parent
-            if node.parent:
-                top = node.parent
-            continue
-        while top.tag in CLOSED_BY and tag in CLOSED_BY[top.tag]:
-            top = top.parent
-        up = top
-        while up.parent and up.tag not in BARRIERS:
-            if up.tag in CLOSED_BY and tag in CLOSED_BY[up.tag]:
-                top = up.parent
-                break
-            up = up.parent
-        source = m[3] or ""
-        node = Node(tag, attributes(source.rstrip("/")) if source.strip(" /\n\t") else {}, top)
-        top.children.append(node)
-        if tag in RAW_TEXT:
-            low = low if low is not None else page.lower()
-            stop = low.find(f"</{tag}", at)
-            stop = len(page) if stop < 0 else stop
-            if stop > at:
-                body = page[at:stop]
-                node.children.append(html.unescape(body) if tag in ("title", "textarea") else body)
-            over = page.find(">", stop)
-            at = len(page) if over < 0 else over + 1
-        elif tag not in VOID and not source.rstrip().endswith("/"):
-            top = node
+    path, places = [root], defaultdict(list)
+    for kind, name, attrs in events(page or ""):
+        if kind == START:
+            node = Node(name, {k: v or "" for k, v in attrs.items()}, path[-1])
+            path[-1].children.append(node)
+            places[name].append(len(path))
+            path.append(node)
+        elif kind == END:
+            if places[name]:
+                depth = places[name][-1]
+                while len(path) > depth:
+                    places[path.pop().tag].pop()
+        elif kind != EMPTY:
+            path[-1].children.append(name)
     return root

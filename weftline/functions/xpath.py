@@ -1,4 +1,8 @@
-"""A small XPath dialect over the lenient tree: ``/ // . @a text()`` and predicates with or, and, not nested steps, contains(@a,'x'), @a='x', @a, last()."""
+"""A small XPath dialect over the lenient tree: ``/ // . @a text()`` and predicates with or, and, nested steps, contains(@class,'x'), @a='x', @a, last().
+
+As the dialect has it, ``text()`` is all text below whatever its axis, ``contains`` looks for a part of the class, and
+a predicate ``.//name`` holds where the element or one below has that name, whatever is asked of it in brackets.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import re
 from functools import lru_cache
 
 from weftline.functions.html_tree import Node
+from weftline.functions.text import collapse
 
 _TOKEN = re.compile(r"\s*(//|/|\[|\]|\(|\)|=|,|@[\w-]+|'[^']*'|\"[^\"]*\"|\.//|\./|\.|text\(\)|last\(\)|position\(\)|contains|or\b|and\b|\*|[\w-]+)")
 
@@ -102,6 +107,14 @@ class _Parser:
                 self.take()
                 return ("equals", name, self.take()[1:-1])
             return ("has", name)
+        if token == ".//":
+            self.take()
+            name = self.take().lower()
+            while self.peek() == "[":  # the dialect reads no further
+                self.take()
+                self.either()
+                self.take("]")
+            return ("below", name)
         return ("path", self.path())
 
 
@@ -110,10 +123,6 @@ def compile_path(source: str) -> tuple:
     return _Parser(source).path()
 
 
-def _uses_last(p: tuple) -> bool:
-    return p[0] == "last" or (p[0] in ("or", "and") and any(map(_uses_last, p[1])))
-
-
 def _holds(p: tuple, node: Node, is_last: bool) -> bool:
     kind = p[0]
     if kind == "or":
@@ -128,11 +137,13 @@ def _holds(p: tuple, node: Node, is_last: bool) -> bool:
         return node.attrs.get(p[1]) == p[2]
     if kind == "has":
         return p[1] in node.attrs
+    if kind == "below":
+        return node.tag == p[1] or any(n.tag == p[1] for n in node.walk())
     return bool(select(node, p[1]))
 
 
 def select(node: Node, steps: tuple) -> list:
-    """Nodes, or strings after an attribute or text step. ``last()`` counts within one parent."""
+    """Nodes, or strings after an attribute or text step. Places are counted among what a step finds from one node."""
     here: list = [node]
     for axis, test, predicates in steps:
         if axis == "text":
@@ -141,14 +152,10 @@ def select(node: Node, steps: tuple) -> list:
             return [n.attrs.get(test) or "" for n in here]
         found, seen = [], set()
         for context in here:
-            pool = list(context.walk()) if axis == "descendant" else [c for c in context.children if isinstance(c, Node)]
+            pool = context.walk() if axis == "descendant" else (c for c in context.children if isinstance(c, Node))
             pool = [n for n in pool if test == "*" or n.tag == test]
-            for p in predicates:
-                last = _uses_last(p)
-                ends = {id(n.parent): n for n in pool} if last else {}  # the last one of each parent
-                pool = [n for n in pool if _holds(p, n, last and ends[id(n.parent)] is n)]
-            for n in pool:
-                if id(n) not in seen:
+            for k, n in enumerate(pool):
+                if id(n) not in seen and all(_holds(p, n, k == len(pool) - 1) for p in predicates):
                     seen.add(id(n))
                     found.append(n)
         here = found
@@ -157,5 +164,4 @@ def select(node: Node, steps: tuple) -> list:
 
 def text_of(node: Node, source: str) -> str:
     """All values of a path one after another, blanks collapsed."""
-    values = [v if isinstance(v, str) else v.text() for v in select(node, compile_path(source))]
-    return " ".join("".join(values).split())
+    return collapse("".join(v if isinstance(v, str) else v.text() for v in select(node, compile_path(source))))

@@ -2,473 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from weftline.plans import catalog_pages, catalog_search, catalog_urls
+from weftline.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from weftline.functions import hosts as H
-from weftline.functions import markdown as M
-from weftline.functions import text as T
-from weftline.functions import urls as U
-from weftline.operators import cache, evaluate, fusion, layout
-from weftline.plans import fetch
-from weftline.session import ship_package
-from weftline.sources import pdf_text, serp
-from weftline.streaming import windowed_counts
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-# SQL counterparts of the URL functions.
-ABS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s\\]+)([^?#]*)(\?[^#]*)?(#.*)?$"
-_TRACK = ", ".join(f"'{k}'" for k in U.TRACKING)
-
-
-def _p(u: str, g: int) -> str:
-    return f"regexp_extract({u}, '{ABS}', {g})"
-
-
-def canon_sql(u: str) -> str:
-    key = "lower(split_part(p, '=', 1))"
-    kept = f"list_filter(string_split(substr({_p(u, 4)}, 2), '&'), lambda p: not (starts_with({key}, 'utm_') or {key} in ({_TRACK})))"
-    q = f"case when {_p(u, 4)} = '' or len({kept}) = 0 or array_to_string({kept}, '&') = '' then '' else '?' || array_to_string({kept}, '&') end"
-    port = f"case lower({_p(u, 1)}) when 'https' then regexp_replace(lower({_p(u, 2)}), ':443$', '') when 'http' then regexp_replace(lower({_p(u, 2)}), ':80$', '') else lower({_p(u, 2)}) end"
-    return f"case when trim({u}) = '' then '' when {_p(u, 1)} = '' then {u} else lower({_p(u, 1)}) || '://' || {port} || case when {_p(u, 3)} = '' then '/' else {_p(u, 3)} end || {q} end"
-
-
-def host_sql(u: str) -> str:
-    return f"lower(regexp_replace(regexp_replace({_p(u, 2)}, '^.*@', ''), ':[0-9]*$', ''))"
-
-
-def domain_sql(u: str) -> str:
-    bare = f"regexp_replace({host_sql(u)}, '^www\\.', '')"
-    two = f"array_to_string(string_split({bare}, '.')[-2:], '.')"
-    three = f"array_to_string(string_split({bare}, '.')[-3:], '.')"
-    return f"case when len(string_split({bare}, '.')) <= 2 then {bare} when {two} in ({', '.join(repr(s) for s in U.SUFFIXES)}) then {three} else {two} end"
-
-
-CANON, HOST, DOMAIN = canon_sql("url"), host_sql("url"), domain_sql("url")
-ALLOWED, BLOCKED = ["example.com", "example.net"], ["cheap-pills.example.com", "spam-farm.example.net"]
-IN = lambda h, ds: "(" + " or ".join(f"{h} = '{d}' or {h} like '%.{d}'" for d in ds) + ")"
-
-
-@query(f"select page_id, {CANON} as canon from pages")
-def url_canonical(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.canonicalize(F.col("url")).alias("canon"))
-
-
-@query(f"select page_id, {DOMAIN} as domain, {HOST} as host from pages")
-def registrable_domain(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.registrable_domain(F.col("url")).alias("domain"), U.host(F.col("url")).alias("host"))
-
-
-@query("select page_id, case when regexp_matches(bare, '^[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+(:[0-9]+)?([/?#].*)?$') then 'https://' || bare else bare end as url from (select page_id, regexp_replace(url, '^https?://', '') as bare from pages)")
-def url_normalize_scheme(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.normalize_scheme(F.regexp_replace("url", "^https?://", "")).alias("url"))
-
-
-@query("select page_id, replace(url_decode(replace(url, '+', '%2B')), ' ', '+') as url from pages")
-def url_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url"))
-
-
-@query(f"select page_id, sha256({CANON}) as key from pages")
-def cache_key(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.cache_key(F.col("url")).alias("key"))
-
-
-@query(f"select page_id, not {IN(HOST, BLOCKED)} and {IN(HOST, ALLOWED)} as allowed, case when not (not {IN(HOST, BLOCKED)} and {IN(HOST, ALLOWED)}) then 'blocked by website policy' else '' end as reason, {HOST} as host from pages")
-def policy_check(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.check_access(F.col("url"), ALLOWED, BLOCKED).alias("v")).select("page_id", "v.*")
-
-
-@query(f"""select page_id, case when len(name) <= 253 and not regexp_full_match(name, '[0-9.]+') and regexp_full_match(name, '[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?([.][a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?)*') then name end as domain
-    from (select page_id, rtrim(lower(trim({HOST})), '.') as name from pages)""")
-def domain_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", H.normalize_domain(U.host(F.col("url"))).alias("domain"))
-
-
-@query(f"""select o_orderkey, short, not regexp_matches(short, '{H.NON_PUBLIC_V6}') as public
-    from (select o_orderkey, '2001:' || lower(hex(o_orderkey % 4096 + 1)) || '::' || lower(hex(o_orderkey % 65535 + 1)) as short from orders)""")
-def ip_public_v6(spark, sf_dir):
-    key = F.col("o_orderkey")
-    ip = F.concat(F.lit("2001:"), F.lpad(F.hex(key % 4096 + 1), 4, "0"), F.lit(":0:0:0:0:0:"), F.hex(key % 65535 + 1))
-    return table(spark, sf_dir, "orders").select("o_orderkey", H.compress_ipv6(ip).alias("short"), H.is_public_ip(ip).alias("public"))
-
-
-def _suffix_join(spark, sf_dir, domains, how):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    policy = spark.createDataFrame([(d,) for d in domains], "domain string")
-    hit = pages.select("page_id", F.explode(U.host_suffixes(U.host(F.col("url")))).alias("domain")).join(F.broadcast(policy), "domain").select("page_id").distinct()
-    return pages.join(hit, "page_id", how)
-
-
-@query(f"select page_id, url from pages where {IN(HOST, ALLOWED)}")
-def policy_semi(spark, sf_dir):
-    return _suffix_join(spark, sf_dir, ALLOWED, "left_semi")
-
-
-@query(f"select page_id, url from pages where not {IN(HOST, BLOCKED)}")
-def policy_anti(spark, sf_dir):
-    return _suffix_join(spark, sf_dir, BLOCKED, "left_anti")
-
-
-_IP = "concat_ws('.', o_orderkey % 256, (o_orderkey * 7) % 256, (o_orderkey * 13) % 256, (o_orderkey * 31) % 256)"
-_NUM = "((o_orderkey % 256) * 16777216 + ((o_orderkey * 7) % 256) * 65536 + ((o_orderkey * 13) % 256) * 256 + (o_orderkey * 31) % 256)"
-
-
-def _ranges() -> str:
-    out = []
-    for net, bits in U.NON_PUBLIC_V4:
-        a, b, c, d = map(int, net.split("."))
-        low = (a << 24) + (b << 16) + (c << 8) + d
-        out.append(f"{_NUM} between {low} and {low + (1 << (32 - bits)) - 1}")
-    return " or ".join(out)
-
-
-@query(f"select o_orderkey, {_IP} as ip, not ({_ranges()}) as public from orders")
-def ip_public_v4(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_IP).alias("ip")).withColumn("public", U.is_public_ipv4(F.col("ip")))
-
-
-@query("select item_id, text || ' (site:example.com OR site:example.net)' as query from benchmark")
-def scope_query(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", U.scope_query(F.col("text"), ALLOWED).alias("query"))
-
-
-# Three synthetic engines rank the pages of a language: by length of html, by canonical URL, by id.
-_HITS_SQL = f"""hits as (
-select query, engine, ord, row_number() over (partition by query, engine order by k1 desc, k2, page_id) as rank, title, href, body, canon, page_id from (
-select p.*, e.engine, e.ord, case engine when 'a' then length(html) else 0 end as k1, case engine when 'b' then canon else '' end as k2 from
- (select page_id, split_part(url, '/', 4) as query, url as href, {CANON} as canon, html,
-   trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s]+', ' ', 'g')) as title, substr(html, 1, 100 + page_id % 50) as body from pages) p,
- (values ('a', 1), ('b', 2), ('c', 3)) e(engine, ord))),
-f as (select query, engine, canon, min(rank) as rank from hits group by all)"""
-
-
-def _hits(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id", F.split_part("url", F.lit("/"), F.lit(4)).alias("query"), F.col("url").alias("href"), U.canonicalize(F.col("url")).alias("canon"), F.char_length("html").alias("n"), T.page_title(F.col("html")).alias("title"), F.substring(F.col("html"), F.lit(1), (F.lit(100) + F.col("page_id") % 50).cast("int")).alias("body")
-    )
-    engines = F.explode(F.array(*[F.struct(F.lit(e).alias("engine"), F.lit(k).alias("ord")) for k, e in enumerate("abc", 1)])).alias("e")
-    every = pages.select("*", engines).select("*", "e.*").drop("e")
-    order = [F.when(F.col("engine") == "a", F.col("n")).otherwise(0).desc(), F.when(F.col("engine") == "b", F.col("canon")).otherwise(F.lit("")), "page_id"]
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("query", "engine").orderBy(*order))).drop("n", "canon")
-
-
-def _weights(spark) -> DataFrame:
-    return spark.createDataFrame([("a", 1.0), ("b", 0.5), ("c", 2.0)], "engine string, w double")
-
-
-@query(f"with {_HITS_SQL} select query, canon, round(sum(1.0 / (60 + rank)), 12) as score from f group by query, canon")
-def rrf_scores(spark, sf_dir):
-    return fusion.scores(fusion.candidates(_hits(spark, sf_dir)))
-
-
-@query(f"with {_HITS_SQL} select query, canon, round(sum(w / (60 + rank)), 12) as score from f join (values ('a', 1.0), ('b', 0.5), ('c', 2.0)) v(engine, w) using (engine) group by query, canon")
-def rrf_weighted(spark, sf_dir):
-    return fusion.scores(fusion.candidates(_hits(spark, sf_dir)), _weights(spark))
-
-
-def _topk_sql(cap: int, limit: int, by: str = "domain") -> str:
-    key = {"domain": domain_sql("canon"), "host": host_sql("canon")}[by]
-    return f"""with {_HITS_SQL}, s as (select query, canon, round(sum(1.0 / (60 + rank)), 12) as score, {key} as {by} from f group by query, canon),
-c as (select *, row_number() over (partition by query, {by} order by score desc, canon) as n from s)
-select query, canon, {by}, score, place from (select *, row_number() over (partition by query order by score desc, canon) as place from c where n <= {cap} or {cap} = 0) where place <= {limit}"""
-
-
-@query(_topk_sql(2, 10))
-def rrf_topk(spark, sf_dir):
-    return fusion.fuse(_hits(spark, sf_dir), per_domain=2, limit=10).select("query", "canon", "domain", "score", "place")
-
-
-@query(_topk_sql(1, 5, "host"))
-def host_cap(spark, sf_dir):
-    scored = fusion.scores(fusion.candidates(_hits(spark, sf_dir))).withColumn("host", U.host(F.col("canon")))
-    return fusion.cap_and_limit(scored, ["query"], 1, 5, by="host").select("query", "canon", "host", "score", "place")
-
-
-@query(f"with {_HITS_SQL} select query, canon, title, href, body, engine from (select *, row_number() over (partition by query, canon order by length(body) desc, ord, rank) as n from hits) where n = 1")
-def longest_body_dedupe(spark, sf_dir):
-    return fusion.best_documents(fusion.candidates(_hits(spark, sf_dir)))
-
-
-@query(f"with {_HITS_SQL} select query, engine, rank, href from hits where engine in ('a', 'c')")
-def provider_dedupe(spark, sf_dir):
-    engines = spark.createDataFrame([("a", "one", 1), ("b", "one", 2), ("c", "two", 3)], "engine string, provider string, ordinal int")
-    return fusion.one_engine_per_provider(_hits(spark, sf_dir), engines).select("query", "engine", "rank", "href")
-
-
-@query(f"""with {_HITS_SQL}, s as (select query, canon, round(sum(1.0 / (60 + rank)), 12) as score from f group by query, canon)
-select query, canon, score, place from (select *, row_number() over (partition by query order by score desc, canon) as place from s where {IN(host_sql("canon"), ALLOWED)}) where place <= 5""")
-def policy_refill(spark, sf_dir):
-    scored = fusion.scores(fusion.candidates(_hits(spark, sf_dir))).where(U.policy_allows(U.host(F.col("canon")), ALLOWED, []))
-    return fusion.cap_and_limit(scored, ["query"], 0, 5).select("query", "canon", "score", "place")
-
-
-@query(f"""with {_HITS_SQL}, s as (select query, canon, round(sum(1.0 / (60 + rank)), 12) as score from f group by query, canon),
-d as (select query, canon, title, href, body from (select *, row_number() over (partition by query, canon order by length(body) desc, ord, rank) as n from hits) where n = 1),
-t as (select *, row_number() over (partition by query order by score desc, canon) as place from s join d using (query, canon))
-select query, string_agg('Title: ' || trim(regexp_replace(title, '\\s+', ' ', 'g')) || chr(10) || 'URL: ' || trim(regexp_replace(href, '\\s+', ' ', 'g')) || chr(10) || 'Snippet: ' || trim(regexp_replace(body, '\\s+', ' ', 'g')), chr(10) || '---' || chr(10) order by place) as text
-from t where place <= 5 group by query""")
-def format_results(spark, sf_dir):
-    return fusion.format_results(fusion.fuse(_hits(spark, sf_dir), limit=5))
-
-
-_GOLD = "(values ('en', 'example.net'), ('fr', 'example.com'), ('de', 'example.org'), ('es', 'example.com')) g(query, expected)"
-
-
-def _golden(spark) -> DataFrame:
-    return spark.createDataFrame([("en", "example.net"), ("fr", "example.com"), ("de", "example.org"), ("es", "example.com")], "query string, expected string")
-
-
-def _runs(spark, sf_dir) -> DataFrame:
-    """Each engine's first ten hits of a query."""
-    return fusion.candidates(_hits(spark, sf_dir)).where("rank <= 10").withColumn("domain", U.registrable_domain(F.col("canon")))
-
-
-_RUNS = f"runs as (select query, engine, rank, canon, {domain_sql('canon')} as domain from hits where rank <= 10)"
-
-
-@query(f"""with {_HITS_SQL}, {_RUNS}, p as (select engine, query, avg(case when domain = expected or domain like '%.' || expected then 1 else 0 end) as p from runs join {_GOLD} using (query) where rank <= 5 group by engine, query)
-select engine, round(sum(p) / (select count(distinct query) from hits), 9) as precision from p group by engine""")
-def eval_precision(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
-    return evaluate.precision(runs.where("rank <= 5"), _golden(spark), runs, ["engine"])
-
-
-@query("select event_type, list_sort(list(value))[count(value) // 2 + 1] as median from events group by event_type")
-def eval_median_ms(spark, sf_dir):
-    return evaluate.upper_median(table(spark, sf_dir, "events"), "event_type", "value")
-
-
-@query("select event_type, count(*) filter (value < 10 or value is null) as failures, count(*) as runs from events group by event_type")
-def eval_failures(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.coalesce(F.col("value") < 10, F.lit(True))).alias("failures"), F.count("*").alias("runs"))
-
-
-@query(f"""with {_HITS_SQL}, {_RUNS}, e as (select distinct query, engine, canon from runs), s as (select query, engine, count(*) as n from e group by all),
-b as (select x.query, x.engine as a, y.engine as b, count(*) as common from e x join e y on x.query = y.query and x.canon = y.canon group by all)
-select p.engine as a, q.engine as b, round(avg(coalesce(common, 0) / (p.n + q.n - coalesce(common, 0))), 9) as jaccard from s p join s q on p.query = q.query and p.engine <> q.engine
-left join b on b.query = p.query and b.a = p.engine and b.b = q.engine group by all""")
-def eval_jaccard(spark, sf_dir):
-    return evaluate.jaccard(_runs(spark, sf_dir))
-
-
-@query(f"""with {_HITS_SQL}, {_RUNS} select engine, count(*) as total, count(*) filter (not exists (select 1 from runs o where o.query = r.query and o.canon = r.canon and o.engine <> r.engine)) as unique_urls from runs r group by engine""")
-def eval_unique(spark, sf_dir):
-    return evaluate.unique_contribution(_runs(spark, sf_dir))
-
-
-_VECTORS = [("flat", "a", 1.0), ("flat", "b", 1.0), ("flat", "c", 1.0), ("long", "a", 2.0), ("long", "b", 1.0), ("long", "c", 0.5), ("name", "a", 0.5), ("name", "b", 2.0), ("name", "c", 1.0), ("first", "a", 1.0), ("first", "b", 0.5), ("first", "c", 2.0)]
-
-
-@query(f"""with {_HITS_SQL}, w(vector, engine, w) as (values {", ".join(map(str, _VECTORS))}), s as (select vector, query, canon, round(sum(w / (60 + rank)), 12) as score, {domain_sql("canon")} as domain from f join w using (engine) group by all),
-c as (select * from s, (values (0), (1), (2), (3), (5)) v(cap)), k as (select *, row_number() over (partition by vector, cap, query, domain order by score desc, canon) as n from c),
-t as (select * from (select *, row_number() over (partition by vector, cap, query order by score desc, canon) as place from k where cap = 0 or n <= cap) where place <= 5),
-p as (select vector, cap, query, avg(case when domain = expected or domain like '%.' || expected then 1 else 0 end) as p from t join {_GOLD} using (query) group by all),
-d as (select vector, cap, query, count(distinct domain) as d from t group by all)
-select vector, cap, (select round(sum(p) / (select count(distinct query) from hits), 9) from p where p.vector = d.vector and p.cap = d.cap) as precision, round(avg(d), 9) as domains from d group by vector, cap""")
-def eval_grid(spark, sf_dir):
-    weights = spark.createDataFrame(_VECTORS, "vector string, engine string, w double")
-    caps = spark.createDataFrame([(c,) for c in (0, 1, 2, 3, 5)], "cap int")
-    return evaluate.grid(fusion.candidates(_hits(spark, sf_dir)), weights, caps, _golden(spark), U.registrable_domain(F.col("canon")))
-
-
-_NOW = 200 * 60_000
-_CACHE_SQL = f"cache as (select sha256({CANON}) as key, page_id * 60000 as ts_ms, strlen(html)::bigint as size from pages)"
-
-
-def _cache(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(U.cache_key(F.col("url")).alias("key"), (F.col("page_id") * 60_000).alias("ts_ms"), F.octet_length("html").cast("long").alias("size"))
-
-
-@query(f"with {_CACHE_SQL} select key, ts_ms, size from (select *, row_number() over (order by ts_ms desc, key) as n, sum(size) over (order by ts_ms desc, key rows unbounded preceding) as t from cache where {_NOW} - ts_ms < 86400000) where n <= 128 and t <= 400000")
-def cache_prune(spark, sf_dir):
-    return cache.prune(_cache(spark, sf_dir), _NOW, size=400_000)
-
-
-@query(f"with {_CACHE_SQL} select key, {_NOW} - ts_ms < 3600000 as fresh from cache")
-def cache_fresh(spark, sf_dir):
-    return _cache(spark, sf_dir).select("key", cache.is_fresh(F.col("ts_ms"), _NOW).alias("fresh"))
-
-
-@query(f"with {_CACHE_SQL} select key, max(ts_ms) as ts_ms, max_by(size, ts_ms) as size from (select * from cache union all select key, ts_ms + 1, size + 1 from cache where ts_ms % 120000 = 0) group by key")
-def cache_upsert(spark, sf_dir):
-    old = _cache(spark, sf_dir)
-    return cache.upsert(old, old.where("ts_ms % 120000 = 0").select("key", (F.col("ts_ms") + 1).alias("ts_ms"), (F.col("size") + 1).alias("size")))
-
-
-_LINES_SQL = "lines as (select lang, doc_id as page, line as text, least(i, 3) as bucket from (select lang, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null))"
-
-
-def _lines(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("lang", F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "text")).select("lang", "page", "text", F.least(F.col("i") + 1, F.lit(3)).alias("bucket"))
-
-
-@query(f"with {_LINES_SQL} select lang, text, bucket, count(distinct page) as pages from lines group by all")
-def running_lines(spark, sf_dir):
-    return layout.running_counts(_lines(spark, sf_dir), ["lang"])
-
-
-@query(f"""with {_LINES_SQL}, l as (select page as lang, bucket as page, text, 1 as bucket from lines), n as (select lang, count(distinct page) as m from l group by lang), c as (select lang, text, bucket, count(distinct page) as k from l group by all)
-select l.lang as doc_id, l.page, l.text from l join n on l.lang = n.lang join c on c.lang = l.lang and c.text = l.text where not k >= greatest(2, ceil(m / 2.0))""")
-def running_lines_strip(spark, sf_dir):
-    lines = _lines(spark, sf_dir).select(F.col("page").alias("doc_id"), F.col("bucket").alias("page"), "text", F.lit(1).alias("bucket"))
-    return layout.strip_running(lines, ["doc_id"]).select("doc_id", "page", "text")
-
-
-@query("""with h as (select l_linestatus, floor(l_quantity + 0.5)::bigint as size, sum(l_linenumber)::bigint as n from lineitem group by all), b as (select l_linestatus, greatest(arg_max(size, n * 1000 + size), 12) as body from h group by l_linestatus)
-select l_linestatus, size, body, n, level from (select h.*, body, row_number() over (partition by h.l_linestatus order by size desc) as level from h join b using (l_linestatus) where size > body) where level <= 6""")
-def heading_histogram(spark, sf_dir):
-    return layout.heading_levels(table(spark, sf_dir, "lineitem"), ["l_linestatus"], F.col("l_quantity"), F.col("l_linenumber"))
-
-
-@query("""select user_id, island, count(*) as n, min(event_id) as first_event from (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as island from
-(select user_id, event_id, ts, coalesce((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) > 3600000000)::int, 1) as new from events)) group by user_id, island""")
-def line_merge_islands(spark, sf_dir):
-    from pyspark.sql import Window
-
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    events = table(spark, sf_dir, "events").withColumn("us", us)
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) > 3_600_000_000
-    return layout.islands(events, ["user_id"], ["ts", "event_id"], gap).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
-
-
-@query("""select l_orderkey, l_linenumber, arg_min(ord, ord) as ord from lineitem, (values (1, 0, 0.0, 20, 0.04), (2, 10, 0.02, 30, 0.08), (3, 25, 0.05, 50, 0.1)) r(ord, x0, y0, x1, y1)
-where l_quantity between x0 and x1 and l_discount between y0 and y1 group by all""")
-def rect_containment(spark, sf_dir):
-    points = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.lit(1).alias("page"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
-    rects = spark.createDataFrame([(1, 1, 0.0, 0.0, 20.0, 0.04), (1, 2, 10.0, 0.02, 30.0, 0.08), (1, 3, 25.0, 0.05, 50.0, 0.1)], "page int, ord int, x0 double, y0 double, x1 double, y1 double")
-    return layout.inside_first(points, F.broadcast(rects), ["page"]).select("id.l_orderkey", "id.l_linenumber", "ord")
-
-
-@query("select p_partkey, case when abs(p_retailprice - 900.0) <= abs(p_retailprice - 1200.0) and abs(p_retailprice - 900.0) <= abs(p_retailprice - 1600.0) then 900.0 when abs(p_retailprice - 1200.0) <= abs(p_retailprice - 1600.0) then 1200.0 else 1600.0 end::double as centre from part")
-def nearest_column(spark, sf_dir):
-    return layout.nearest_column(table(spark, sf_dir, "part"), "p_retailprice", [900.0, 1200.0, 1600.0]).select("p_partkey", "centre")
-
-
-# Of the SQL only, which knows neither the other phrases nor fences; the operator and it agree at sf0.001 and sf0.01.
-_PHRASES = ["licensed under the mit license", "all rights reserved", "read more"]
-
-
-@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), s as (select doc_id, line, list_filter(list_transform(regexp_split_to_array(line, '[.!]'), lambda x: lower(trim(x))), lambda x: x <> '') as parts from l where length(line) <= 300)
-select doc_id, line from s where len(parts) > 0 and len(list_filter(parts, lambda x: x not in ({", ".join(map(repr, _PHRASES))}))) = 0""")
-def boilerplate_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(M.boilerplate_lines("text")).alias("line"))
-
-
-@query("select doc_id, trim(regexp_replace(text, '[\\t\\n\\x0b\\x0c\\r \\x{00a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{3000}\\x{feff}]+', ' ', 'g')) as text from documents")
-def collapse_ws(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.collapse_whitespace(F.col("text")).alias("text"))
-
-
-@query("select doc_id, case when coalesce(text, '') = '' then '(no text content)' when length(text) > 500 then substr(text, 1, 500) || '... (truncated, ' || length(text) || ' chars total)' else text end as text from documents")
-def truncate_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_text(F.col("text"), 500).alias("text"))
-
-
-@query("select doc_id, length(regexp_replace(text, '[^\\x00-\\x08\\x0e-\\x1f\\x7f]', '', 'g')) > greatest(16, length(text) // 8) as binary from documents")
-def binary_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.looks_binary(F.col("text")).alias("binary"))
-
-
-@query("select page_id, lower(substr(html, 1, 9)) = '<!doctype' as is_html from pages")
-def html_sniff(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.looks_like_html(F.col("html")).alias("is_html"))
-
-
-@query("select item_id, kind, case when kind = '' or kind like 'text/%' then true when kind like 'application/%' then kind not in ('application/pdf', 'application/zip', 'application/gzip') else false end as is_text from (select item_id, ['text/html; charset=x', 'application/pdf', 'image/png', '', 'application/json', 'application/zip'][item_id % 6 + 1] as raw, trim(split_part(raw, ';', 1)) as kind from benchmark)")
-def mime_gate(spark, sf_dir):
-    kinds = F.array(*map(F.lit, ["text/html; charset=x", "application/pdf", "image/png", "", "application/json", "application/zip"]))
-    raw = F.element_at(kinds, (F.col("item_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.trim(F.substring_index(raw, ";", 1)).alias("kind"), T.is_text_type(raw).alias("is_text"))
-
-
-@query("select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title from pages")
-def page_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
-
-
-@query("select page_id, case when n >= 400 then null when n = 0 then 'empty' when score >= 2 then 'js-shell' end as reason from (select page_id, length(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as n, (len(regexp_extract_all(html, '<script')) >= 3)::int + regexp_matches(html, 'id=[\"''](root|app|__next|__nuxt)[\"'']')::int * 2 as score from pages)")
-def render_hint(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", M.render_hint(F.col("html"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))["reason"].alias("reason"))
-
-
-@query("select page_id, (generate_subscripts(hs, 1) - 1)::int as pos, unnest(hs) as href from (select page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) as hs from pages)")
-def link_extract(spark, sf_dir):
-    return serp.links(table(spark, sf_dir, "pages"))
-
-
-@query("select o_orderkey, case when s in (301, 302, 303, 307, 308) and o_orderkey % 2 = 0 then 'redirect without location' when s in (301, 302, 303, 307, 308) then 'redirect' when s >= 300 then 'HTTP ' || s else 'ok' end as outcome from (select o_orderkey, [200, 301, 304, 404, 503, 308][(o_orderkey % 6 + 1)::int] as s from orders)")
-def status_triage(spark, sf_dir):
-    status = F.element_at(F.array(*map(F.lit, [200, 301, 304, 404, 503, 308])), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", fetch.triage(status, F.when(F.col("o_orderkey") % 2 == 1, F.lit("/x"))).alias("outcome"))
-
-
-@query("select url, hop, attempt, status from (select *, row_number() over (partition by url, hop order by status >= 400, attempt, status) as n from (select l_orderkey as url, 1 as hop, l_linenumber as attempt, case when l_returnflag = 'R' then 403 when l_returnflag = 'A' then 500 else 200 end as status from lineitem)) where n = 1")
-def attempt_selection(spark, sf_dir):
-    status = F.when(F.col("l_returnflag") == "R", 403).when(F.col("l_returnflag") == "A", 500).otherwise(200)
-    return fetch.winning_attempt(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("url"), F.lit(1).alias("hop"), F.col("l_linenumber").alias("attempt"), status.alias("status")))
-
-
-@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
-def windowed_event_counts(spark, sf_dir):
-    return windowed_counts(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
-@query()
-def page_markdown(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", M.page_struct.asNondeterministic()("html").alias("p"))
-    return pages.select("page_id", "p.title", "p.date", "p.text")
-
-
-@query()
-def page_fetch(spark, sf_dir):
-    raw = table(spark, sf_dir, "pages").select("url", F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "utf-8").alias("body"))
-    return fetch.read_pages(raw).withColumn("hint", F.col("hint.reason"))
-
-
-@query()
-def serp_extract(spark, sf_dir):
-    block = F.concat(F.lit('<div class="result body"><h2><a href="'), F.col("url"), F.lit('">'), T.page_title(F.col("html")), F.lit('</a></h2><a href="'), F.col("url"), F.lit('">go</a></div>'))
-    rows = table(spark, sf_dir, "pages").groupBy(F.split_part("url", F.lit("/"), F.lit(4)).alias("query"), (F.col("page_id") % 50).alias("shelf")).agg(F.array_join(F.sort_array(F.collect_list(block)), "").alias("html"))
-    return serp.serp_hits(rows.select("query", F.lit("duckduckgo").alias("engine"), "html"))
-
-
-@query()
-def entity_decode(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.decode_entities("html").alias("text"))
-
-
-@query("select doc_id, text from documents where text is not null")
-def charset_decode(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", T.decode_body(F.encode("text", "utf-8"), F.lit("utf-8")).alias("text"))
-
-
-@query("select doc_id, 1 as page, trim(regexp_replace(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 200), ' +', ' ', 'g')) as text from documents where trim(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 200)) <> ''")
-def pdf_text_pages(spark, sf_dir):
-    line = F.trim(F.regexp_replace(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 200), " +", " "))
-    body = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Length 9 >> stream\nBT ("), line, F.lit(") Tj ET\nendstream endobj"))
-    files = table(spark, sf_dir, "documents").where(line != "").select(F.col("doc_id").cast("string").alias("path"), F.encode(body, "utf-8").alias("content"))
-    return pdf_text.read_pdfs(files).select(F.col("path").cast("long").alias("doc_id"), "page", "text")
+__all__ = ["QUERIES", "SQL", "catalog_pages", "catalog_search", "catalog_urls"]
