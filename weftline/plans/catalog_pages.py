@@ -184,15 +184,21 @@ def _article_sql() -> str:
     return f"trim(regexp_replace(regexp_replace(replace({out}, '&amp;', '&'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', {literal(chr(10) * 2)}, 'g'), ' ' || chr(10) || chr(9))"
 
 
-#: Pages whose article alone has 250 characters or more of text beside its heading are surely taken as that article.
-_LONG = f"length(regexp_replace({_article_sql()}, '^#[^\\n]*', '')) >= 250"
+def _plain_sql(tag: str, group: str) -> str:
+    """What a simple element says."""
+    return f"replace(regexp_replace({_DECODED.format(f"regexp_extract(html, '(?s){tag}({group}</)', 1)")}, '</$', ''), '&amp;', '&')"
 
 
-@query(f"select page_id, {_TITLE} as title, 'Title: ' || {_TITLE} || chr(10) || chr(10) || {_article_sql()} as text from pages where {_LONG}")
+#: An article with 200 characters of prose beside its heading is the page; else the page is all but menu and footer.
+_PROSE = "list_sum(list_transform(string_split(art, chr(10)), lambda x: case when trim(x) = '' then 0 else length(x) end)) - length('# ' || h1)"
+_READ = f"""read as (select *, 'Title: ' || title || chr(10) || chr(10) || case when {_PROSE} >= 200 then art else trim(ad || chr(10) || chr(10) || art, ' ' || chr(10)) end as text
+from (select page_id, url, {_TITLE} as title, {_article_sql()} as art, {_plain_sql('<h1>', '.*?')} as h1, trim(regexp_replace({_plain_sql('<div class="ad">', '.*?')}, '\\s+', ' ', 'g')) as ad from pages))"""
+
+
+@query(f"with {_READ} select page_id, title, text from read")
 def page_markdown(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("p", M.page_struct.asNondeterministic()("html"))
-    whole = F.regexp_replace(F.col("p.text"), r"^Title: [^\n]*\n\n(?:#[^\n]*)?", "")
-    return pages.select("page_id", "p.title", "p.text").where(F.char_length(whole) >= 250)
+    pages = table(spark, sf_dir, "pages").select("page_id", M.page_struct.asNondeterministic()("html").alias("p"))
+    return pages.select("page_id", "p.title", "p.text")
 
 
 @query(f"select page_id, {_TITLE} as title from pages")
@@ -335,12 +341,10 @@ def byte_cap(spark, sf_dir):
     return read.groupBy("n_nationkey").agg(F.max(F.when(F.col("more") == 1, F.col("text"))).alias("long"), F.max(F.when(F.col("more") == 0, F.col("text"))).alias("exact"))
 
 
-@query(f"select url, 'Title: ' || {_TITLE} || chr(10) || chr(10) || {_article_sql()} as text, null::varchar as error, null::varchar as hint from pages where {_LONG} and length({_article_sql()}) >= 460")
+@query(f"with {_READ} select url, text, null::varchar as error, null::varchar as hint from read")
 def page_fetch(spark, sf_dir):
     raw = table(spark, sf_dir, "pages").select("url", F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "utf-8").alias("body"))
-    read = fetch.read_pages(raw).select("url", "text", "error", F.col("hint.reason").alias("hint"))
-    whole = F.regexp_replace("text", r"^Title: [^\n]*\n\n", "")
-    return read.where((F.char_length(whole) >= 460) & (F.char_length(F.regexp_replace(whole, r"^#[^\n]*", "")) >= 250))
+    return fetch.read_pages(raw).select("url", "text", "error", F.col("hint.reason").alias("hint"))
 
 
 @query("""select page_id, case page_id % 4 when 0 then 'raw' when 1 then 'api' when 2 then 'readme' else 'page' end as source, case page_id % 4 when 0 then 'code' when 1 then 'README of https://github.com/o/r' || page_id || ' (fetched via the GitHub README API):' || chr(10) || chr(10) || '# R'
