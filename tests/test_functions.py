@@ -13,7 +13,7 @@ from weftline.functions import whatwg
 from weftline.functions.html_tree import parse
 from weftline.functions.xpath import compile_path, select, text_of
 from weftline.operators import cache, evaluate, fusion, layout
-from weftline.plans import catalog, fetch, settings
+from weftline.plans import catalog, fetch, search, settings
 from weftline.sources import pdf_text, serp
 from weftline.streaming import windowed_counts
 
@@ -168,6 +168,15 @@ def test_fusion(spark):
     assert [fusion.clamp_results(n) for n in (None, float("nan"), 0, 3.9, 99, float("inf"))] == [5, 5, 1, 3, 20, 20] and [fusion.positive(n) for n in (2.9, 0.5, -1, True, "3", float("inf"))] == [2, None, None, None, None, None]
 
 
+def test_search_over_captured_pages(spark):
+    item = "<div class=body><h2>{0}</h2><a href='https://{1}/'>s</a></div>"
+    pages = spark.createDataFrame([("q", "duckduckgo", item.format("A", "a.org") + item.format("B", "b.org")), ("q", "startpage", "<div class=result><a href='https://b.org/'><h2>B</h2></a><p>longer</p></div>"), ("q", "yandex", "<li class=serp-item><h3><a href='https://c.org/'>C</a></h3></li>")], "query string, engine string, html string")
+    queries = spark.createDataFrame([("q",), ("none",)], "query string")
+    got = {r["query"]: r["text"] for r in search.search(queries, search.captured(pages), blocked=["a.org"]).collect()}
+    assert got == {"q": "Title: B\nURL: https://b.org/\nSnippet: longer\n\n---\n\n" + fusion.CLOSING, "none": fusion.NO_RESULTS}
+    assert {r["text"] for r in search.search(queries, search.captured(pages), allowed=["http://bad"]).collect()} == {fusion.NONE_ALLOWED, fusion.NO_RESULTS}
+
+
 def test_evaluate_and_cache(spark, tmp_path):
     runs = spark.createDataFrame([("e", v) for v in (1, 2, 3, 4)], "engine string, ms int")
     assert evaluate.upper_median(runs, "engine", "ms").first()["median"] == 3

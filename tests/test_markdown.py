@@ -147,7 +147,9 @@ def test_readme_and_provenance():
     assert M.readme_text("# A\n\ntext") == "# A\n\ntext" and M.readme_text("<html><head><title>T</title></head><body><p>b</p></body></html>") == "Title: T\n\nb"
     assert M.with_provenance("Title: T\n\nbody", "http://x", "By y") == "Title: T\nURL: http://x\nBy y\n\nbody" and M.with_provenance("body", "http://x", "By y") == "URL: http://x\nBy y\n\nbody"
     assert M.body_chars("Title: T\nURL: u\n\nab [c](d)") == 5
-    assert M.prefixed("<p>x</p>\n\n... (page truncated at the download limit)").endswith("x\n\n... (page truncated at the download limit)")
+    cut = "... (page truncated at the download limit)"
+    assert M.prefixed(f"<p>x</p>\n\n{cut}").count(cut) == 1
+    assert M.prefixed(f"<main><p>{'words ' * 60}</p></main>\n\n{cut}").endswith(f"words\n\n{cut}")
 
 
 def test_deep_nesting_through_the_column(spark):

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from weftline.functions.html_events import EMPTY, END, ENTITY, START, VOID, events
+from weftline.functions.html_events import EMPTY, END, ENTITY, START, TEXT, VOID, events
 from weftline.functions.text import CUT, collapse, looks_like_html_document_text, looks_like_html_text, noscript_of
 
 # Elements that are skipped, block elements, marks of emphasis, what ends what and up to where.
@@ -399,9 +399,17 @@ class _Writer:
         return self
 
 
-def _written(page: str, scope: str | None, strip_headers: bool) -> _Writer:
+Events = list[tuple[int, str, dict[str, str | None]]]
+
+
+def read_events(page: str) -> Events:
+    """A page's tags and text, read once for all that is made of them; line ends are unified."""
+    return list(events(page.replace("\r\n", "\n").replace("\r", "\n") if "\r" in page else page))
+
+
+def _written(read: Events, scope: str | None, strip_headers: bool) -> _Writer:
     writer = _Writer(scope, strip_headers)
-    for kind, name, attrs in events(page):
+    for kind, name, attrs in read:
         if kind == START:
             writer.start(name, attrs)
         elif kind == END:
@@ -478,12 +486,12 @@ def stripped(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else strip_boilerplate(t) for t in text.to_pylist()], pa.string())
 
 
-def _main_scope(page: str, tag: str) -> str | None:
+def _main_scope(read: Events, tag: str) -> str | None:
     """The dominant ``tag`` element's text, unless there is none of size or three or more of like prose make a listing."""
-    if f"<{tag}" not in page and f"<{tag}" not in page.lower():
+    if not any(name == tag and kind == START for kind, name, _ in read):
         return None
     found = []
-    for text, dropped, headings in _written(page, tag, True).segments:
+    for text, dropped, headings in _written(read, tag, True).segments:
         text = strip_boilerplate(cleanup(text))
         if (prose := visible_chars(text) - headings) >= SCOPE_PROSE:
             found.append((prose, len(text) + min(dropped, len(text)), text))
@@ -496,25 +504,30 @@ def _main_scope(page: str, tag: str) -> str | None:
     return best[2] if best[1] >= SCOPE_PROSE else None
 
 
-def to_markdown(page: str | None, main_content: bool = True) -> str:
-    page = (page or "").replace("\r\n", "\n").replace("\r", "\n")
+def to_markdown(page: str | Events | None, main_content: bool = True) -> str:
+    """A page (or what was read of it) as Markdown, by default its main content."""
+    read = read_events(page or "") if isinstance(page, str | None) else page
     if not main_content:
-        return cleanup("".join(_written(page, None, False).regions[0].parts))
+        return cleanup("".join(_written(read, None, False).regions[0].parts))
     for tag in ("article", "main"):
-        if (text := _main_scope(page, tag)) is not None:
+        if (text := _main_scope(read, tag)) is not None:
             return text
-    return strip_boilerplate(cleanup("".join(_written(page, None, True).regions[0].parts)))
+    return strip_boilerplate(cleanup("".join(_written(read, None, True).regions[0].parts)))
 
 
-def head_of(page: str) -> dict[str, str]:
+def head_of(page: str | Events) -> dict[str, str]:
     """Title and metadata, in page order: the first ``title`` outside drawings, of each key the first with content, of each field the first key."""
     found = {"title": "", "author": "", "date": "", "site": "", "description": ""}
     parts: list[str] = []
     inside = done = False
     skipped = 0
     seen: set[str] = set()
-    for kind, name, attrs in events(page):
-        if name == "meta" and kind in (START, EMPTY):
+    for kind, name, attrs in read_events(page) if isinstance(page, str) else page:
+        if kind >= TEXT:
+            if inside and not skipped:
+                parts.append(name)
+            continue
+        if name == "meta" and kind != END:
             key = attrs["property"] if attrs.get("property") is not None else attrs.get("name")
             key, value = (key or "").lower(), collapse(attrs.get("content") or "")
             if key and value and key not in seen:
@@ -532,19 +545,18 @@ def head_of(page: str) -> dict[str, str]:
             inside = name == "title" and not done
         elif kind == END and name == "title":
             inside, done = False, True
-        elif kind != END and kind != EMPTY and inside:
-            parts.append(name)
     return found | {"title": collapse("".join(parts))}
 
 
 PREFIX = [("Title: ", "title"), ("Author: ", "author"), ("Date: ", "date"), ("Site: ", "site")]
 
 
-def prefixed(page: str, head: dict[str, str] | None = None) -> str:
+def prefixed(page: str, read: Events | None = None, head: dict[str, str] | None = None) -> str:
     """Markdown under lines of metadata; the notice of a cut page is kept."""
-    head = head_of(page) if head is None else head
+    read = read_events(page) if read is None else read
+    head = head_of(read) if head is None else head
     lines = [name + head[field] for name, field in PREFIX if head[field]]
-    text = "\n".join(lines) + "\n\n" + to_markdown(page) if lines else to_markdown(page)
+    text = "\n".join(lines) + "\n\n" + to_markdown(read) if lines else to_markdown(read)
     return text + "\n\n" + CUT if page.endswith(CUT) and not text.endswith(CUT) else text
 
 
@@ -597,8 +609,9 @@ _ARROW_PAGE = pa.struct([(name, pa.string()) for name in PAGE.names[:-1]] + [("h
 
 
 def read_page(page: str) -> dict:
-    head = head_of(page)
-    text = prefixed(page, head)
+    read = read_events(page)
+    head = head_of(read)
+    text = prefixed(page, read, head)
     return {**head, "text": text, "hint": hint_of(page, text, head["description"])}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.functions import urls as U
 from weftline.operators import cache, evaluate, fusion
+from weftline.plans import search
 from weftline.plans.registry import ALLOWED, CANON, canon_sql, domain_sql, in_sql, literal, part_sql, query, table, turn_sql
 from weftline.sources import serp
 
@@ -97,6 +98,20 @@ def format_results(spark, sf_dir):
     return fusion.format_results(fusion.fuse(_hits(spark, sf_dir), limit=5))
 
 
+@query(f"""with {_HITS_SQL}, s as (select query, canon, round(sum(1.0 / (60 + rank)), 12) as score from f where query <> 'fr' group by query, canon),
+d as (select query, canon, title, body from (select *, row_number() over (partition by query, canon order by length(body) desc, ord, rank) as n from hits) where n = 1),
+t as (select *, row_number() over (partition by query order by score desc, canon) as place from s join d using (query, canon) where {in_sql(part_sql("canon", 2), ALLOWED)} and query <> 'de'),
+r as (select query, string_agg('Title: ' || {_FLAT.format("title")} || chr(10) || 'URL: ' || {_FLAT.format("canon")} || chr(10) || 'Snippet: ' || {_FLAT.format("body")}, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by place)
+ || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'These are only short snippets. To read a page, call web_fetch with its URL.' as text from t where place <= 3 group by query)
+select q.query, coalesce(text, case q.query when ' ' then 'No query provided.' when 'de' then 'No results found within the website access limits.' else 'No results found.' end) as text from (select distinct query from hits union all values (' ')) q left join r using (query)""")
+def web_search(spark, sf_dir):
+    """Whole searches under a policy: one query finds nothing, one nothing that is allowed, one is blank."""
+    hits = _hits(spark, sf_dir)
+    queries = hits.select("query").distinct().unionByName(spark.createDataFrame([(" ",)], "query string"))
+    far = F.when(F.col("query") == "de", F.regexp_replace("href", "example", "elsewhere")).otherwise(F.col("href"))
+    return search.search(queries, lambda asked: hits.where("query <> 'fr'").withColumn("href", far).join(asked, "query", "left_semi"), max_results=3, allowed=ALLOWED)
+
+
 _TITLES = ["Category:X - Wikimedia Commons", "Wikimedia", "Category:X", "plain"]
 
 
