@@ -548,6 +548,18 @@ def head_of(page: str | Events) -> dict[str, str]:
     return found | {"title": collapse("".join(parts))}
 
 
+@F.arrow_udf(StringType())
+def main_content(page: pa.Array) -> pa.Array:
+    """The main content of pages as Markdown."""
+    return pa.array([None if p is None else to_markdown(p) for p in page.to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def whole_page(page: pa.Array) -> pa.Array:
+    """All of pages as Markdown."""
+    return pa.array([None if p is None else to_markdown(p, False) for p in page.to_pylist()], pa.string())
+
+
 PREFIX = [("Title: ", "title"), ("Author: ", "author"), ("Date: ", "date"), ("Site: ", "site")]
 
 

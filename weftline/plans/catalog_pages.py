@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,6 +233,74 @@ def render_hint(spark, sf_dir):
     return pages.withColumn("h", hint).select("page_id", "h.reason", F.array_join("h.evidence", ",").alias("evidence"))
 
 
+#: Small pages, and what becomes of them by the rules for each construct.
+_CASES = [
+    ("<p>seen</p><div hidden>no</div><p aria-hidden=TRUE>no</p><p style='color:red; display : none !important'>no</p><p style='visibility:hidden'>no</p><p aria-hidden=false>yes</p>", "seen\n\nyes"),
+    ("<div><p hidden>no<p>one</p><p>two</p></div>", "one\n\ntwo"),
+    ("<h2>Head <em>line</em></h2><p>a <b>b</b> <i>c</i> <a href='/x'>d  e</a> <a>f</a>", "## Head *line*\n\na **b** *c* [d e](/x) f"),
+    ("<ul><li>a<li>b<ul><li>c</ul></ul><ol start=3><li>d<li>e</ol>", "* a\n* b\n\n  * c\n\n3. d\n4. e"),
+    ("<pre>a  b\n\n\n&lt;c</pre><p>x <code>y</code>", "```\na  b\n\n\n<c\n```\n\nx `y`"),
+    ("<pre>```\nz</pre>", "````\n```\nz\n````"),
+    ("<blockquote><p>a<p>b<br>c</blockquote>d", "> a\n>\n> b\n> c\n\nd"),
+    ("<table><tr><th>N</th><th>M</th></tr><tr><td>a|b<td>c<br>d</table>", "| N | M |\n| --- | --- |\n| a\\|b | c d |"),
+    ("one<br/>two<hr>three<br hidden>four<div/>five", "one\ntwo\n\n---\n\nthreefourfive"),
+    ("<nav>no</nav><footer>no</footer><script>1<2</script><button>no</button><svg><text>no</text></svg>yes<aside>and</aside>", "yes\n\nand"),
+    ("<p>AT&amp;T &mdash; &#128; &notit;&amp<b>x</b> a < b", "AT&T — € ¬it;&**x** a < b"),
+    ("<title>a < b</title><textarea>c</textarea><!-- d --><p>e<!f>g<?h?>i", "a < bc\n\negi"),
+    ("<dl><dt>a<dd>b</dl><section>c</section><figure>d<figcaption>e</figcaption></figure>", "a\n\nb\n\nc\n\nd\n\ne"),
+    ("<a href=x><h1>T</h1></a> tail", "[# T](x) tail"),
+    ("", ""),
+    ("<a href='1' href='2' title=\"a>b\">q</a><p title=it's>r", "[q](2)\n\nr"),
+]
+
+
+@query(f"select o_orderkey, {turn_sql([m for _, m in _CASES], 'o_orderkey')} as markdown from orders")
+def markdown_cases(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", M.whole_page(turn([h for h, _ in _CASES], F.col("o_orderkey"))).alias("markdown"))
+
+
+_LONG_TEXT = "long enough to be an article of its own, " * 8
+_LINKS = "".join(f"<li><a href=/l{k}>Language {k}</a></li>" for k in range(60))
+_SCOPES = [
+    (f"<nav>no</nav><p>around</p><article><h1>T</h1><p>{_LONG_TEXT}</p></article>", f"# T\n\n{_LONG_TEXT.strip()}"),
+    (f"<article><p>stub</p></article><main><p>{_LONG_TEXT}</p></main>", _LONG_TEXT.strip()),
+    ("<p>Skip to content</p><article><p>short</p></article><p>Uh oh!</p><p>text</p>", "short\n\ntext"),
+    (f"<main><header><h1>T</h1><ul>{_LINKS}</ul></header><p>{_LONG_TEXT}</p></main>", f"# T\n\n{_LONG_TEXT.strip()}"),
+    (f"<article><header><h1>T</h1><p>By Jane</p></header><p>{_LONG_TEXT}</p></article>", f"# T\n\nBy Jane\n\n{_LONG_TEXT.strip()}"),
+    ("".join(f"<article><p>{k} {_LONG_TEXT}</p></article>" for k in range(3)), "\n\n".join(f"{k} {_LONG_TEXT.strip()}" for k in range(3))),
+    (f"<article><p>{_LONG_TEXT}</p></article><article><p>{_LONG_TEXT * 2}</p></article>", (_LONG_TEXT * 2).strip()),
+    (f"<main><p>{_LONG_TEXT}", _LONG_TEXT.strip()),
+]
+
+
+@query(f"select o_orderkey, {turn_sql([m for _, m in _SCOPES], 'o_orderkey')} as markdown from orders")
+def main_scope(spark, sf_dir):
+    """The dominant article or main part, listings, stubs, and headers of links."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", M.main_content(turn([h for h, _ in _SCOPES], F.col("o_orderkey"))).alias("markdown"))
+
+
+_SILENT = ["<NOSCRIPT class=x><p>a &amp;\n b</p></noscript>c<noscript>d</noscript>", "none", "<noscript>open", "<noscript><img src=x></noscript>"]
+
+
+@query(f"select page_id, {turn_sql(['a & b d', '', '', ''], 'page_id')} as text from pages")
+def noscript_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.noscript_text(F.concat(turn(_SILENT, F.col("page_id")), F.col("html"))).alias("text"))
+
+
+_DEFLATED = zlib.compress(b"words of a body " * 20)
+_GZIP = zlib.compressobj(wbits=31)
+_GZIP = _GZIP.compress(b"words of a body " * 20) + _GZIP.flush()
+_PACKED = [(_GZIP, "gzip"), (_GZIP, " X-GZIP"), (_DEFLATED, "deflate"), (_DEFLATED[2:-4], "Deflate"), (b"words of a body " * 20, ""), (_GZIP[:-9], "gzip")]
+
+
+@query("select item_id, repeat('words of a body ', 20) as text from benchmark")
+def body_inflate(spark, sf_dir):
+    """Bodies by all codings, with and without headers; of one that breaks off, what could be read."""
+    n = F.col("item_id")
+    body = F.unhex(turn([b.hex() for b, _ in _PACKED], n))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.decode(T.decompress(body, turn([c for _, c in _PACKED], n)), "UTF-8").alias("text"))
+
+
 @query("select page_id, case page_id % 2 when 0 then 'Title: t' || chr(10) || 'URL: ' || url || chr(10) || 'Rendered here.' || chr(10) || chr(10) || 'body' else 'URL: ' || url || chr(10) || 'Rendered here.' || chr(10) || chr(10) || 'body' end as text from pages")
 def provenance(spark, sf_dir):
     text = F.when(F.col("page_id") % 2 == 0, F.lit("Title: t\n\nbody")).otherwise(F.lit("body"))
