@@ -346,7 +346,8 @@ def test_places_among_probes():
         q = ann._unit(rng.normal(size=(1, 6)))
         order = hasher.probes(q, 1, hasher.buckets)[0]
         assert sorted(order.tolist()) == list(range(hasher.buckets))
-        assert all(k + 1 <= hasher.place(q, 1, int(order[k])) <= k + 5 for k in range(0, min(len(order), 200), 7))  # the last of those as near
+        gaps = [g[0] for g in hasher.gaps(q, 1)]
+        assert all(k + 1 <= hasher.place(gaps, int(order[k])) <= k + 5 for k in range(0, min(len(order), 200), 7))  # the last of those as near
 
 
 def all_segmentations(model, part):

@@ -76,9 +76,13 @@ class Hasher:
             cost, code = np.take_along_axis(cost, best, 1), np.take_along_axis(code, best, 1)
         return code
 
-    def place(self, x: np.ndarray, table: int, code: int) -> int:
-        """At which probe of the one row ``x`` bucket ``code`` comes (the last of those as near)."""
-        gaps = [(y[0].max() - y[0]) ** 2 for y in self.turned(x, table)]
+    def gaps(self, x: np.ndarray, table: int) -> list[np.ndarray]:
+        """For each hash the squared distances of the rows' coordinates from the best one."""
+        return [(y.max(axis=1, keepdims=True) - y) ** 2 for y in self.turned(x, table)]
+
+    @staticmethod
+    def place(gaps: list[np.ndarray], code: int) -> int:
+        """At which probe of a row with these ``gaps`` bucket ``code`` comes (the last of those as near)."""
         cost = 0.0
         for gap in reversed(gaps):
             code, axis = divmod(code, len(gap))
@@ -195,12 +199,17 @@ def fit_probes(rows: DataFrame, queries: DataFrame, hashers: dict[int, Hasher],
         ids.append(r["vec_id"])
         x.append(r["embedding"])
     known = {dim: (np.array(ids), np.array(x, dtype=np.float64)) for dim, (ids, x) in sample.items()}
-    need: dict[int, list[int]] = {}
+    true: dict[int, list] = {}
     for r in _truth(rows, known, k) if known else []:
-        hasher, query = hashers[r["dim"]], _unit(known[r["dim"]][1][r["q"]][None, :])
-        true = _unit(np.array([r["embedding"]]))
-        need.setdefault(r["dim"], []).append(min(hasher.place(query, t, int(hasher.bucket(true, t)[0])) for t in range(TABLES)))
-    found = {dim: sorted(n)[min(len(n) - 1, int(np.ceil(recall * len(n))) - 1)] for dim, n in need.items()}
+        true.setdefault(r["dim"], []).append((r["q"], r["embedding"]))
+    found = {}
+    for dim, near in true.items():
+        hasher, of, queries_ = hashers[dim], [q for q, _ in near], _unit(known[dim][1])
+        unit, need = _unit(np.array([e for _, e in near])), [hashers[dim].buckets] * len(near)
+        for table in range(TABLES):
+            gaps, codes = hasher.gaps(queries_, table), hasher.bucket(unit, table)
+            need = [min(n, hasher.place([g[q] for g in gaps], int(c))) for n, q, c in zip(need, of, codes)]
+        found[dim] = sorted(need)[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]
     return {dim: min(h.buckets, found.get(dim, h.buckets)) for dim, h in hashers.items()}
 
 
