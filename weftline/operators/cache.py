@@ -50,8 +50,8 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def lookup(urls: DataFrame, cache: DataFrame, now_ms: int) -> DataFrame:
-    """``urls`` (url, ...) with the entry of their key: body, content_type, ts_ms, ``fresh``. Entries that lack a part, or are older than the stale limit, count as none."""
-    whole = cache.where(F.col("body").isNotNull() & F.col("content_type").isNotNull() & F.col("ts_ms").isNotNull() & (F.lit(now_ms) - F.col("ts_ms") < STALE_MS))
+    """``urls`` (url, ...) with the entry of their key: body, content_type, ts_ms, ``fresh``. Entries that lack a part count as none; old ones go when the cache is pruned, not here."""
+    whole = cache.where(F.col("body").isNotNull() & F.col("content_type").isNotNull() & F.col("ts_ms").isNotNull())
     entry = whole.select(F.col("key").alias("_key"), F.col("body").alias("cached_body"), F.col("content_type").alias("cached_type"), F.col("ts_ms").alias("cached_ms"))
     found = urls.withColumn("_key", cache_key(F.col("url"))).join(entry, "_key", "left").drop("_key")
     return found.withColumn("fresh", is_fresh(F.col("cached_ms"), now_ms))

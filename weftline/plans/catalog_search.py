@@ -285,7 +285,7 @@ _C = canon_sql("url")
 
 
 @query(f"""with c as (select canon, body, ts_ms from (select {_C} as canon, html as body, page_id * 60000 as ts_ms, row_number() over (partition by {_C} order by page_id desc) as n from pages where page_id % 2 = 0) where n = 1)
-select page_id, c.body as cached_body, c.ts_ms as cached_ms, {_NOW} - c.ts_ms < 3600000 as fresh from pages p left join c on {canon_sql("p.url")} = c.canon and {_NOW} - c.ts_ms < 86400000""")
+select page_id, c.body as cached_body, c.ts_ms as cached_ms, {_NOW} - c.ts_ms < 3600000 as fresh from pages p left join c on {canon_sql("p.url")} = c.canon""")
 def cache_lookup(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     entries = pages.where("page_id % 2 = 0").select(U.cache_key(F.col("url")).alias("key"), F.col("html").alias("body"), F.lit("text/html").alias("content_type"), (F.col("page_id") * 60_000).alias("ts_ms"), F.lit(0).cast("long").alias("size"))
