@@ -88,6 +88,9 @@ def test_bodies(spark):
     rows = [("http://a.org/1", 200, "text/html", gzip.compress(page), "gzip"), ("http://a.org/2", 200, "text/html", b"junk", "gzip"), ("http://a.org/3", 200, "text/html", page, None)]
     read = {r["url"][-1]: (r["error"], r["title"]) for r in fetch.read_pages(spark.createDataFrame(rows, "url string, status int, content_type string, body binary, content_encoding string")).collect()}
     assert read == {"1": (None, "T"), "2": (None, ""), "3": (None, "T")}
+    broken = spark.createDataFrame([(200, "text/plain", noise[: len(noise) // 2], "gzip"), (200, "text/plain", gzip.compress(b"whole"), "gzip"), (200, "text/plain", gzip.compress(b"words " * 90)[:-4], "gzip")], "status int, content_type string, body binary, content_encoding string")
+    found = [(r["error"] or r["text"])[-40:] for r in fetch.read_bodies(broken).collect()]
+    assert found[0].endswith("bytes; not readable as text)") and found[1] == "whole" and found[2].endswith(T.CUT[-30:])
     assert column(spark, ["<NOSCRIPT x><p>a &amp;\n b</p></noscript>c<noscript>d</noscript>", "none", None], T.noscript_text) == ["a & b d", "", None]
     assert column(spark, [404, 799], fetch.status_message, "int") == ["Failed to fetch URL: HTTP 404 Not Found", "Failed to fetch URL: HTTP 799"]
     assert "from 1970-01-02 " in column(spark, [86_400_000], cache.stale_notice, "long")[0]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from weftline.functions.html_events import EMPTY, END, ENTITY, START, TEXT, VOID, events
-from weftline.functions.text import CUT, collapse, looks_like_html_document_text, looks_like_html_text, noscript_of
+from weftline.functions.text import CUT, SPACE, collapse, looks_like_html_document_text, looks_like_html_text, noscript_of
 
 # Elements that are skipped, block elements, marks of emphasis, what ends what and up to where.
 SKIP = frozenset(["script", "style", "head", "noscript", "svg", "math", "nav", "footer", "template", "dialog", "button", "select", "datalist"])
@@ -55,7 +55,7 @@ NO_TITLE_IN = frozenset(["math", "noscript", "svg", "template"])
 
 _ENDS = {tag: [name for name, by in ENDED_BY.items() if tag in by] for tag in {t for by in ENDED_BY.values() for t in by}}
 _PHRASES = {collapse(p).lower().rstrip(".!:") for p in BOILERPLATE}
-_BLANKS = re.compile(r"\s+")
+_BLANKS = re.compile(SPACE)
 _TICKS = re.compile("`+")
 _START = re.compile(r"\s*[-+]?[0-9]+(?:\.0*)?\s*")
 

@@ -10,7 +10,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
 # White space of ECMAScript, and the subtypes of ``application`` that are no text.
 SPACE_CHARS = "\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -256,9 +256,9 @@ INFLATED_CAP = 64 << 20
 _STEP = 1 << 16
 
 
-def _inflate(body: bytes, wbits: int, most: int) -> bytes | None:
-    """What can be read up to the first error or ``most`` bytes, members of gzip in a row; null if nothing can."""
-    out, rest = bytearray(), body
+def _inflate(body: bytes, wbits: int, most: int) -> tuple[bytes | None, bool]:
+    """What can be read up to the first error or ``most`` bytes, members of gzip in a row (null if nothing can), and whether something is missing."""
+    out, rest, cut = bytearray(), body, False
     while rest and len(out) < most:
         stream, at = zlib.decompressobj(wbits), 0
         try:
@@ -268,22 +268,28 @@ def _inflate(body: bytes, wbits: int, most: int) -> bytes | None:
                 while stream.unconsumed_tail and len(out) < most:
                     out += stream.decompress(stream.unconsumed_tail, most - len(out))
         except zlib.error:
+            cut = True
             break
+        cut = not stream.eof
         rest = stream.unused_data + rest[at:] if stream.eof and wbits > 15 else b""
-    return bytes(out) if out or not body else None
+    return (bytes(out) if out or not body else None), cut
 
 
-def decompress_bytes(body: bytes | None, encoding: str | None, most: int = INFLATED_CAP) -> bytes | None:
-    """A body without its content coding (gzip, deflate with or without its header); null where the coding is unknown or nothing can be read."""
-    coding = (encoding or "").strip().lower()
+def inflate(body: bytes | None, encoding: str | None, most: int = INFLATED_CAP) -> tuple[bytes | None, bool]:
+    """A body without its content coding (gzip, deflate with or without its header), null where the coding is unknown or nothing can be read; and whether it breaks off."""
+    coding = (encoding or "").split(",")[0].strip().lower()
     if body is None or coding in ("", "identity"):
-        return body
+        return body, False
     if coding in ("gzip", "x-gzip"):
         return _inflate(body, 31, most)
     if coding == "deflate":
         found = _inflate(body, 15, most)
-        return _inflate(body, -15, most) if found is None else found
-    return None
+        return _inflate(body, -15, most) if found[0] is None else found
+    return None, False
+
+
+def decompress_bytes(body: bytes | None, encoding: str | None, most: int = INFLATED_CAP) -> bytes | None:
+    return inflate(body, encoding, most)[0]
 
 
 @F.arrow_udf(BinaryType())
@@ -291,6 +297,19 @@ def decompress(body: pa.Array, encoding: pa.Array) -> pa.Array:
     return _column([decompress_bytes(b, e) for b, e in zip(body.to_pylist(), encoding.to_pylist())], pa.binary())
 
 
+INFLATED = StructType([StructField("body", BinaryType()), StructField("cut", BooleanType())])
+
+
+@F.arrow_udf(INFLATED)
+def inflated(body: pa.Array, encoding: pa.Array) -> pa.Array:
+    """Struct (body, cut): a body without its content coding, or as it is where that can't be read; and whether it breaks off."""
+    out = []
+    for b, e in zip(body.to_pylist(), encoding.to_pylist()):
+        found, cut = inflate(b, e)
+        out.append({"body": b if found is None else found, "cut": cut and found is not None})
+    return pa.array(out, pa.struct([("body", pa.binary()), ("cut", pa.bool_())]))
+
+
 _NOSCRIPT, _TAGS = re.compile(r"<noscript\b[^>]*>[\s\S]*?</noscript>", re.I), re.compile(r"<[^>]*>")
 
 

@@ -110,12 +110,11 @@ def read_bodies(raw: DataFrame) -> DataFrame:
     for name, default in (("truncated", F.lit(False)), ("content_encoding", F.lit(None).cast("string"))):
         if name not in raw.columns:
             raw = raw.withColumn(name, default)
-    inflated = F.coalesce(T.decompress("body", "content_encoding"), F.col("body"), F.lit(b""))
-    rows = raw.withColumn("_whole", inflated).withColumn("kind", T.content_type(F.col("content_type")))
+    rows = raw.withColumn("_inflated", T.inflated("body", "content_encoding")).withColumn("_whole", F.coalesce("_inflated.body", F.lit(b""))).withColumn("kind", T.content_type(F.col("content_type")))
     rows = rows.withColumn("_pdf", (F.col("kind") == "application/pdf") | T.has_pdf_magic(F.col("_whole")))
     long = F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("pdf")) | F.col("_pdf")
     rows = rows.withColumn("_cap", F.when(long, F.lit(PDF_CAP)).otherwise(F.lit(TEXT_CAP)))
-    rows = rows.withColumn("_cut", F.coalesce("truncated", F.lit(False)) | (F.octet_length("_whole") > F.col("_cap"))).withColumn("_body", F.substring("_whole", F.lit(1), F.col("_cap"))).drop("_whole")
+    rows = rows.withColumn("_cut", F.coalesce("truncated", F.lit(False)) | F.col("_inflated.cut") | (F.octet_length("_whole") > F.col("_cap"))).withColumn("_body", F.substring("_whole", F.lit(1), F.col("_cap"))).drop("_whole", "_inflated")
     pdf = pdf_body.asNondeterministic()(F.when(F.col("_pdf"), F.col("_body")))
     rows = rows.withColumn("_pdf_text", pdf)
     plain = ~F.col("_pdf") & T.is_text_type(F.col("content_type")) & T.magic_of(F.col("_body")).isNull()

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 PAGES, INFLATED = 50, 64 << 20
 # The wording for what can't be read.
 UNREADABLE, CUT_UNREADABLE = "(PDF content could not be read as text)", "(PDF content could not be read as text; the download was truncated at the download limit)"
-NO_TEXT, TOO_LARGE = "(PDF contains no extractable text)", "(PDF content exceeds the download limit; not readable as text)"
+NO_TEXT = "(PDF contains no extractable text)"
 
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
 _MARK = re.compile(r"%[^\n]*|[(\[<]|['\"]|BT|ET|T[dDm*]")
