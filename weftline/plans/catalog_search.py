@@ -224,12 +224,12 @@ _ITEMS = {
 }
 
 
-@query("""select s_nationkey::varchar as query, e.engine, row_number() over (partition by s_nationkey, e.engine order by s_suppkey)::int as rank, 'T & ' || s_name as title, 'https://s.example/a+b/' || s_suppkey as href, 'about ' || s_name || ' and more' as body
+@query("""select s_nationkey || '/' || (s_suppkey // 50) as query, e.engine, row_number() over (partition by s_nationkey, s_suppkey // 50, e.engine order by s_suppkey)::int as rank, 'T & ' || s_name as title, 'https://s.example/a+b/' || s_suppkey as href, 'about ' || s_name || ' and more' as body
 from supplier, (values ('duckduckgo'), ('yandex'), ('startpage'), ('yahoo'), ('brave')) e(engine)""")
 def serp_extract(spark, sf_dir):
-    """A page of each engine for every nation, with its suppliers as results."""
+    """Pages of each engine for every nation, with its suppliers as results, up to fifty a page."""
     block = lambda t: F.concat(*[{"t": F.concat(F.lit("T &amp;\n "), F.col("s_name")), "u": F.concat(F.lit("https://s.example/a%20b/"), F.col("s_suppkey")), "b": F.concat(F.lit("about <b>"), F.col("s_name"), F.lit("</b>  and more"))}[p] if k % 2 else F.lit(p) for k, p in enumerate(_parts(t))])
-    each = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("query"), "s_suppkey", F.explode(F.create_map(*[x for e, t in _ITEMS.items() for x in (F.lit(e), block(t))])).alias("engine", "block"))
+    each = table(spark, sf_dir, "supplier").select(F.concat("s_nationkey", F.lit("/"), F.floor(F.col("s_suppkey") / 50)).alias("query"), "s_suppkey", F.explode(F.create_map(*[x for e, t in _ITEMS.items() for x in (F.lit(e), block(t))])).alias("engine", "block"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "block"))), lambda x: x["block"]), "")
     return serp.serp_hits(each.groupBy("query", "engine").agg(F.concat(F.lit("<html><body>"), listed, F.lit("</body>")).alias("html")))
 
