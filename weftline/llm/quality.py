@@ -115,6 +115,11 @@ def limits(hist: DataFrame, width: int = 3, prior: int = 100) -> DataFrame:
     )
 
 
+def _limits_of(measured: DataFrame, width: int, prior: int) -> DataFrame:
+    """The limits as a written table: its size is known then, so the join sends it to the rows while it is small, and deals out the rows only beyond that."""
+    return materialize(limits(sketch(measured), width, prior), "quality-limits")
+
+
 def judge(measured: DataFrame, lim: DataFrame) -> DataFrame:
     """``measured`` with ``kept``."""
     lim = lim.withColumnsRenamed({"lang": "_lang", "source": "_source"})
@@ -130,10 +135,10 @@ def judge(measured: DataFrame, lim: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame, width: int = 3, prior: int = 100) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source and what else there is) that the rules keep, with their columns; the measured table is written once and read twice."""
     measured = materialize(measure(docs, "_doc"), "quality")
-    return judge(measured, limits(sketch(measured), width, prior)).where("kept").select("_doc.*")
+    return judge(measured, _limits_of(measured, width, prior)).where("kept").select("_doc.*")
 
 
 def quality_rules(docs: DataFrame, width: int = 3, prior: int = 100) -> DataFrame:
     """The digest: doc_id, base counts, base_failed, kept and the metrics."""
     measured = materialize(measure(docs.select("doc_id", "text", "lang", "source")), "quality")
-    return judge(measured, limits(sketch(measured), width, prior)).select("doc_id", *BASE, "base_failed", "kept", *METRICS)
+    return judge(measured, _limits_of(measured, width, prior)).select("doc_id", *BASE, "base_failed", "kept", *METRICS)
