@@ -546,6 +546,8 @@ def test_url_rules(spark):
         ("http://notcom/en/", "notcom", "/en/", None, "allow"),
         ("https://z.example.net/de/8#q", "z.example.net", "/de/8", "example.net/de/8", "block"),
         ("x://y.spam.org/casino/9", "y.spam.org", "/casino/9", None, "block"),
+        ("http://L.example.org/es/" + "a1/" * 20_000 + "?" + "k=v&" * 5_000, "l.example.org", "/es/" + "a1/" * 20_000, "org/es/", "block"),
+        ("", "", "", None, "allow"),
         (None, "", "", None, "allow"),
         ("no scheme", "", "", None, "allow"),
     ]
