@@ -34,7 +34,7 @@ from weftline.llm.collection import Store, build, read
 from weftline.llm.common import materialize, prepare, release, remove, scratch_path, trim_memory
 
 SIZE, K = 50, 24
-CHUNK, BUCKET, HOT = 1 << 20, 8 << 20, 20_000
+CHUNK, BUCKET, HOT, TASK = 1 << 20, 8 << 20, 20_000, 16 << 20
 _U = np.uint64
 _TABLE = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.uint64)
 _A = np.random.default_rng(7).integers(1 << 62, 1 << 63, 6, dtype=np.uint64) | _U(1)
@@ -287,6 +287,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT, count_a
     chunks = materialize(_chunks(docs), "repeats-chunks")
     n_bytes = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(16, n_bytes // BUCKET)
+    tasks = max(8, n_bytes // TASK)  # so that a task's share doesn't grow with the input
+    dealt = lambda df, key: df.repartition(tasks, key).groupBy(key)
     folder = scratch_path(spark, "repeats-files")
 
     def post(batches):
@@ -321,7 +323,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT, count_a
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": pa.array([0] * len(a), pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     posted = chunks.select("chunk", "ids", "lens", "data").mapInArrow(post, "bucket int, chunk long, keys binary, several binary")
-    flags = materialize(posted.groupBy("bucket").applyInArrow(meet, _REPLY), "repeats-flags")
+    flags = materialize(dealt(posted, "bucket").applyInArrow(meet, _REPLY), "repeats-flags")
 
     def send(chunk: pa.Table, reply: pa.Table) -> pa.Table:
         out: tuple[list, ...] = tuple([] for _ in range(6))
@@ -360,8 +362,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT, count_a
         return found
 
     plain = chunks.select("chunk", "ids", "lens", "data")
-    sent = plain.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, windows binary, ids binary, data binary, low binary")
-    masks = materialize(sent.groupBy("bucket").applyInArrow(sort, _REPLY), "repeats-masks")
+    sent = dealt(plain, "chunk").cogroup(dealt(flags, "chunk")).applyInArrow(send, "bucket int, chunk long, windows binary, ids binary, data binary, low binary")
+    masks = materialize(dealt(sent, "bucket").applyInArrow(sort, _REPLY), "repeats-masks")
     remove(spark, folder)
 
     def finish(chunk: pa.Table, reply: pa.Table) -> pa.Table | None:
@@ -412,7 +414,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT, count_a
     replies = flags.unionByName(masks)
     if texts:
         fields = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField(count_as, LongType()), *rest_schema.fields])
-        return chunks.drop("size").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, fields)
-    found = materialize(plain.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, DIGEST), "repeats-digest")
+        return dealt(chunks.drop("size"), "chunk").cogroup(dealt(replies, "chunk")).applyInArrow(finish, fields)
+    found = materialize(dealt(plain, "chunk").cogroup(dealt(replies, "chunk")).applyInArrow(finish, DIGEST), "repeats-digest")
     release(chunks, flags, masks)
     return found
