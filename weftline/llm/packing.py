@@ -37,33 +37,41 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     m = len(at)
     where = np.full(at[-1] + 1, -1, dtype=np.int32)
     where[at] = np.arange(m)
-    exact: dict[int, list[int]] = {}
-    power = 1
-    while power <= size:
-        far = at >= power
-        i = where[at[far] - power]
-        for j, k in zip(np.flatnonzero(far)[i >= 0].tolist(), i[i >= 0].tolist()):
-            exact.setdefault(j, []).append(k)
+    ends, begins, power = [], [], 1
+    while power <= size:  # windows whose length is a power of two
+        far = int(np.searchsorted(at, power))
+        i = where[at[far:] - power]
+        hit = np.flatnonzero(i >= 0)
+        ends.append(hit + far)
+        begins.append(i[hit])
         power *= 2
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    exact_end, exact_begin, e = [*np.concatenate(ends)[order].tolist(), m], np.concatenate(begins)[order].tolist(), 0
     at, penalty = at.tolist(), penalty.tolist()
     best, back = [0.0] * m, [0] * m
     queue, keys, head = [0], [0.0], 0  # boundaries with ascending best + position
+    next_exact = exact_end[0]
     for j in range(1, m):
         here = at[j]
-        while at[queue[head]] < here - size:
+        least = here - size
+        while at[queue[head]] < least:
             head += 1
         i = queue[head]
-        cost = keys[head] + size - here
-        if j in exact:
-            for k in exact[j]:
-                if best[k] < cost:
-                    cost, i = best[k], k
+        cost = keys[head] - least
+        while next_exact == j:
+            if best[exact_begin[e]] < cost:
+                i = exact_begin[e]
+                cost = best[i]
+            e += 1
+            next_exact = exact_end[e]
         cost += penalty[j]
         best[j], back[j] = cost, i
         key = cost + here
-        while len(queue) > head and keys[-1] >= key:
+        while keys[-1] >= key and len(queue) > head:
             queue.pop()
             keys.pop()
+            if not keys:
+                break
         queue.append(j)
         keys.append(key)
     path = [m - 1]
