@@ -80,7 +80,7 @@ class ByteBpe:
             counts.append(len(words[-1]))
         self.words.trim()
         rows = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, sum(counts))
-        starts, flat = np.array(self.words.starts), np.array(self.words.flat)
+        starts, flat = np.frombuffer(self.words.starts, np.int64), np.frombuffer(self.words.flat or array("I", [0]), np.uint32)  # views, gone before words are added
         sizes = starts[rows + 1] - starts[rows]
         at = np.concatenate([[0], np.cumsum(sizes)])
         ids = flat[np.repeat(starts[rows] - at[:-1], sizes) + np.arange(at[-1])] if at[-1] else np.zeros(0, np.uint32)
