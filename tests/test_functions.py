@@ -60,6 +60,19 @@ def test_hosts(spark):
     assert [(v["allowed"], v["host"]) for v in verdicts] == [(True, "2606:4700::1"), (True, "xn--mnchen-3ya.de"), (False, "")]
 
 
+def test_one_body_as_columns_have_it(spark):
+    bodies = [b"", b"  \xef\xbb\xbf\n%PDF-1", b"PK\x03\x04", b"\xff\xfex\0", b"\0\0\xfe\xff", b"<html><META charset='Shift-JIS'>", b"plain <meta charset=gbk>", b"\x93" * 30 + b"a" * 80, b"\x93" * 30 + b"a" * 90, bytes(range(256)) * 3, b"BZh", b"\x1b[0m" * 20]
+    kinds = [None, "", "text/html; charset=koi8-r", "Application/PDF", "application/vnd.x+json", "image/png", "text/plain;charset='Latin1'", "junk", "application/zip", "text/x; charset=nope"]
+    cases = [(k, b, c) for k, (b, c) in enumerate((b, c) for b in bodies for c in kinds)]
+    b, c = F.col("b"), F.col("c")
+    text = T.decode_body("b", F.lit("utf-8"))
+    df = spark.createDataFrame(cases, "k int, b binary, c string").select("k", T.content_type(c), T.is_text_type(c), F.lower(T.magic_of(b)), T.codec_of(b, c), T.single_byte_evidence(b), T.looks_binary(text))
+    got = {r[0]: tuple(r)[1:] for r in df.collect()}
+    for k, body, value in cases:
+        magic = T.magic_in(body)
+        assert got[k] == (T.type_of(value), T.is_text_kind(T.type_of(value)), magic and magic.hex(), T.codec_for(body, value), T.mostly_ascii(body), T.is_odd(T.decode_bytes(body, "utf-8"))), (body, value)
+
+
 def test_policies(spark):
     assert H.policy_domains(["A.com", "a.com.", "münchen.de"]) == ["a.com", "xn--mnchen-3ya.de"] and H.policy_domains(None) == []
     assert H.policy_domains(["https://a.com"]) is None and H.policy_domains([f"d{i}.org" for i in range(101)]) is None and H.policy_domains([7]) is None

@@ -73,7 +73,7 @@ def is_text_type(value: Column) -> Column:
 
 def _head(body: Column) -> Column:
     """The first bytes in hex, without blanks around one byte-order mark."""
-    return F.regexp_replace(F.hex(F.substring(body, 1, 1024)), "^(?:09|0A|0B|0C|0D|20)*(?:(?:FFFE0000|0000FEFF|FFFE|FEFF|EFBBBF)(?:09|0A|0B|0C|0D|20)*)?", "")
+    return F.regexp_extract(F.hex(F.substring(body, 1, 1024)), "^(?:09|0A|0B|0C|0D|20)*+(?:(?:FFFE0000|0000FEFF|FFFE|FEFF|EFBBBF)(?:09|0A|0B|0C|0D|20)*+)?(.{0,32})", 1)
 
 
 def has_pdf_magic(body: Column) -> Column:
@@ -82,11 +82,7 @@ def has_pdf_magic(body: Column) -> Column:
 
 def magic_of(body: Column) -> Column:
     """The magic number (hex) that bytes start with after blanks and a mark, or null."""
-    head, out = _head(body), F.lit(None).cast("string")
-    for magic in MAGICS:
-        code = magic.hex().upper()
-        out = F.coalesce(out, F.when(head.startswith(code), F.lit(code)))
-    return out
+    return F.nullif(F.regexp_extract(_head(body), f"^({'|'.join(m.hex().upper() for m in MAGICS)})", 1), F.lit(""))
 
 
 def ascii_share(body: Column) -> Column:
@@ -310,6 +306,66 @@ def inflated(body: pa.Array, encoding: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("body", pa.binary()), ("cut", pa.bool_())]))
 
 
+# The same tests on one body, for functions that hold its bytes anyway.
+
+_TYPE, _CHARSET = re.compile(r"[A-Za-z0-9_.+-]+/[A-Za-z0-9_.+-]+"), re.compile(r"charset=([^;\s]+)", re.I)
+_META = re.compile(rb"""<meta\b[^>]*\bcharset\s*=\s*["']?\s*([a-z0-9_.\-]+)""")
+_START = re.compile(rb"[\t-\r ]*(?:(?:\xff\xfe\0\0|\0\0\xfe\xff|\xff\xfe|\xfe\xff|\xef\xbb\xbf)[\t-\r ]*)?")
+_NUMBERED = re.compile(r"windows-125[0-8]|iso-8859-(?:[2-9]|1[0-6])")
+_ODD = re.compile(BINARY_CHARS)
+_MARKS = [(b"\xff\xfe\0\0", "utf-32le"), (b"\0\0\xfe\xff", "utf-32be"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be"), (b"\xef\xbb\xbf", "utf-8")]
+_ASCII_TEXT = bytes([*range(0x20, 0x7F), 9, 10, 13, 27])
+
+
+def type_of(value: str | None) -> str:
+    m = _TYPE.match(value or "")
+    return m[0].lower() if m else ""
+
+
+def is_text_kind(kind: str) -> bool:
+    return not kind or kind.startswith("text/") or (kind.startswith("application/") and kind[12:] not in BINARY_SUBTYPES)
+
+
+def magic_in(body: bytes) -> bytes | None:
+    """The magic number that bytes start with after blanks and a mark."""
+    head = body[:1024]
+    start = _START.match(head).end()
+    return next((m for m in MAGICS if head.startswith(m, start)), None)
+
+
+def codec_named(label: str | None) -> str | None:
+    name = re.sub("[\"']", "", (label or "").strip(SPACES)).lower()
+    return CODECS.get(name) or (name if _NUMBERED.fullmatch(name) else None)
+
+
+def declared_codec(value: str | None) -> str | None:
+    m = _CHARSET.search(value or "")
+    return codec_named(m[1]) if m else None
+
+
+def codec_for(body: bytes, value: str | None) -> str:
+    """``codec_of`` of one body."""
+    for mark, codec in _MARKS:
+        if body.startswith(mark):
+            return codec
+    if codec := declared_codec(value):
+        return codec
+    if "html" in type_of(value) or looks_like_html_document_text(body[:256].decode("latin-1")):
+        m = _META.search(body[:1024].lower())
+        if m and (codec := codec_named(m[1].decode())):
+            return codec
+    return "utf-8"
+
+
+def is_odd(text: str) -> bool:
+    """``looks_binary`` of one text."""
+    return len(text) - len(_ODD.sub("", text)) > max(16, len(text) // 8)
+
+
+def mostly_ascii(body: bytes) -> bool:
+    return not body or 4 * (len(body) - len(body.translate(None, _ASCII_TEXT))) >= 3 * len(body)
+
+
 _NOSCRIPT, _TAGS = re.compile(r"<noscript\b[^>]*>[\s\S]*?</noscript>", re.I), re.compile(r"<[^>]*>")
 
 

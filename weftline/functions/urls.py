@@ -79,7 +79,7 @@ def registrable_domain(url: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize_scheme(url: Column) -> Column:

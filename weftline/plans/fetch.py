@@ -12,7 +12,7 @@ from http.client import responses
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftline.functions import text as T
 from weftline.functions import urls as U
@@ -20,7 +20,7 @@ from weftline.functions.hosts import is_public_ip, policy_domains
 from weftline.functions.html_events import EMPTY, START, events
 from weftline.functions.markdown import page_struct, readme_body, render_body, visible
 from weftline.operators import cache as C
-from weftline.sources.pdf_text import CUT_UNREADABLE, NO_TEXT, UNREADABLE, pdf_body
+from weftline.sources.pdf_text import CUT_UNREADABLE, NO_TEXT, UNREADABLE, pdf_text
 
 TEXT_CAP, PDF_CAP, REQUESTS = 512 << 10, 10 << 20, 5
 REDIRECTS = [301, 302, 303, 307, 308]
@@ -101,37 +101,55 @@ def with_access(rows: DataFrame, url: str, allowed: list[str] | None, blocked: l
     return rows.withColumn("access", U.check_access(F.col(url), only if valid else [], never if valid else [], valid))
 
 
+def body_of(body: bytes | None, encoding: str | None, content_type: str | None, truncated: bool | None) -> dict[str, str | None]:
+    """What a body says (``text``) or why it says nothing (``error``), and its ``kind``."""
+    whole, broken = T.inflate(body, encoding)
+    if whole is None:
+        whole, broken = body or b"", False
+    kind = T.type_of(content_type)
+    pdf = kind == "application/pdf" or T.magic_in(whole) == T.PDF_MAGIC
+    cap = PDF_CAP if pdf or "pdf" in (content_type or "").lower() else TEXT_CAP
+    own, cut = whole[:cap], bool(truncated) or broken or len(whole) > cap
+    failed = lambda why: {"error": why, "text": None, "kind": "application/pdf" if pdf else kind}
+    if pdf:
+        text = pdf_text(own)
+        if text is None:
+            return failed(CUT_UNREADABLE if cut else UNREADABLE)
+        text = text or NO_TEXT
+    elif not T.is_text_kind(kind):
+        return failed(f"(non-text content: {kind or 'unknown type'}, {len(own)} bytes; not readable as text)")
+    else:
+        text = None if T.magic_in(own) else T.decode_bytes(own, T.codec_for(own, content_type))
+        if text is not None and T.is_odd(text):
+            second = T.declared_codec(content_type) in (None, "iso8859-1") and T.mostly_ascii(own)
+            text = T.decode_bytes(own, "cp1252") if second else None
+            text = None if text is not None and T.is_odd(text) else text
+        if text is None:
+            return failed(f"(binary content, {len(own)} bytes; not readable as text)")
+    return {"error": None, "text": text + "\n\n" + T.CUT if cut else text, "kind": "application/pdf" if pdf else kind}
+
+
+BODY = StructType([StructField(n, StringType()) for n in ("error", "text", "kind")])
+
+
+@F.arrow_udf(BODY)
+def _bodies(body: pa.Array, encoding: pa.Array, content_type: pa.Array, truncated: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (body, encoding, content_type, truncated)))
+    return pa.array([body_of(*r) for r in rows], pa.struct([(n, pa.string()) for n in BODY.names]))
+
+
 def read_bodies(raw: DataFrame) -> DataFrame:
     """``raw`` with ``error``, ``text`` (the body decoded, or a PDF's text) and ``kind`` (its content type) of responses below 300.
 
     Bodies are inflated, cut at their limit with a notice, and judged in this order: PDF, type, magic number, charset,
-    and whether the text looks binary (then it is read once more as windows-1252, if nothing speaks against it).
+    and whether the text looks binary (then it is read once more as windows-1252, if nothing speaks against it). All of
+    it is one function of a body's bytes, so that no test is repeated where a later step builds on it.
     """
     for name, default in (("truncated", F.lit(False)), ("content_encoding", F.lit(None).cast("string"))):
         if name not in raw.columns:
             raw = raw.withColumn(name, default)
-    rows = raw.withColumn("_inflated", T.inflated("body", "content_encoding")).withColumn("_whole", F.coalesce("_inflated.body", F.lit(b""))).withColumn("kind", T.content_type(F.col("content_type")))
-    rows = rows.withColumn("_pdf", (F.col("kind") == "application/pdf") | T.has_pdf_magic(F.col("_whole")))
-    long = F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("pdf")) | F.col("_pdf")
-    rows = rows.withColumn("_cap", F.when(long, F.lit(PDF_CAP)).otherwise(F.lit(TEXT_CAP)))
-    rows = rows.withColumn("_cut", F.coalesce("truncated", F.lit(False)) | F.col("_inflated.cut") | (F.octet_length("_whole") > F.col("_cap"))).withColumn("_body", F.substring("_whole", F.lit(1), F.col("_cap"))).drop("_whole", "_inflated")
-    pdf = pdf_body.asNondeterministic()(F.when(F.col("_pdf"), F.col("_body")))
-    rows = rows.withColumn("_pdf_text", pdf)
-    plain = ~F.col("_pdf") & T.is_text_type(F.col("content_type")) & T.magic_of(F.col("_body")).isNull()
-    declared = T.normalize_charset(T.header_charset(F.col("content_type")))
-    rows = rows.withColumn("_codec", T.codec_of(F.col("_body"), F.col("content_type"))).withColumn("_text", T.decode_body(F.when(plain, F.col("_body")), F.col("_codec")))
-    rescue = T.looks_binary(F.col("_text")) & (declared.isNull() | (declared == "iso8859-1")) & T.single_byte_evidence(F.col("_body"))
-    rows = rows.withColumn("_second", T.decode_body(F.when(rescue, F.col("_body")), F.lit("cp1252")))
-    text = F.when(~T.looks_binary(F.col("_text")), F.col("_text")).when(F.col("_second").isNotNull() & ~T.looks_binary(F.col("_second")), F.col("_second"))
-    bytes_ = F.concat(F.octet_length("_body").cast("string"), F.lit(" bytes; not readable as text)"))
-    error = (
-        F.when(F.col("_pdf"), F.when(F.col("_pdf_text").isNull(), F.when(F.col("_cut"), F.lit(CUT_UNREADABLE)).otherwise(F.lit(UNREADABLE))))
-        .when(~T.is_text_type(F.col("content_type")), F.concat(F.lit("(non-text content: "), F.when(F.col("kind") == "", F.lit("unknown type")).otherwise(F.col("kind")), F.lit(", "), bytes_))
-        .when(text.isNull(), F.concat(F.lit("(binary content, "), bytes_))
-    )
-    said = F.when(F.col("_pdf"), F.when(F.col("_pdf_text") == "", F.lit(NO_TEXT)).otherwise(F.col("_pdf_text"))).otherwise(text)
-    rows = rows.withColumn("error", error).withColumn("text", F.when(error.isNull(), T.with_cut(said, F.col("_cut"))))
-    return rows.withColumn("kind", F.when(F.col("_pdf"), F.lit("application/pdf")).otherwise(F.col("kind"))).drop("_pdf", "_cap", "_cut", "_body", "_pdf_text", "_codec", "_text", "_second")
+    rows = raw.withColumn("_read", _bodies.asNondeterministic()("body", "content_encoding", "content_type", "truncated"))
+    return rows.select(*[c for c in raw.columns if c not in BODY.names], "_read.*")
 
 
 def follow(requests: DataFrame, captured: DataFrame, allowed: list[str] | None = None, blocked: list[str] | None = None) -> DataFrame:
@@ -177,7 +195,8 @@ def read_pages(raw: DataFrame, allowed: list[str] | None = None, blocked: list[s
     error = F.when(~F.col("access.allowed"), F.col("access.reason")).otherwise(F.coalesce(triage(F.col("status"), location), F.col("error")))
     rows = rows.withColumn("error", error)
     html = F.col("error").isNull() & (F.contains(F.col("kind"), F.lit("html")) | T.looks_like_html(F.col("text")))
-    rows = rows.withColumn("page", page_struct.asNondeterministic()(F.when(html, F.col("text")))).withColumn("_html", html)
+    rows = rows.withColumn("_html", html)
+    rows = rows.withColumn("page", page_struct.asNondeterministic()(F.when(F.col("_html"), F.col("text"))))
     body = F.when(F.col("_html"), F.col("page.text")).otherwise(U.trimmed(F.col("text")))
     return rows.select(
         "url",
