@@ -1,8 +1,7 @@
-"""Exact byte-level BPE ids at the speed of a table lookup.
+"""Exact byte-level BPE ids.
 
-A text is split by the vocabulary's pattern; words are looked up in a bounded table of known words and
-only new ones go through the merges. Texts outside the Latin blocks take the general pattern. The special
-token's string in a text becomes its id, as the reference tokenizer does by default.
+Texts go whole to the merges' compiled encoder, with the vocabulary's own pattern; the special token's string in a text
+becomes its id, as the reference tokenizer does by default.
 """
 
 from __future__ import annotations
@@ -10,41 +9,14 @@ from __future__ import annotations
 import base64
 import json
 import re
-from array import array
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-# Classes \p{L}, \p{N} and \s of the pattern, up to U+024F.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t\n\x0b\x0c\r \x85\xa0"
-_FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_BEYOND = re.compile("[^\x00-ɏ]")
-
-
-class WordIds(dict):
-    """Word to row of a table of ids; forgets all when full."""
-
-    def __init__(self, encode_piece, limit: int = 250_000):
-        super().__init__()
-        self._encode, self.limit = encode_piece, limit
-        self.flat, self.starts = array("I"), array("q", [0])
-
-    def __missing__(self, word: str) -> int:
-        self.flat.extend(self._encode(word.encode()))
-        self.starts.append(len(self.flat))
-        self[word] = row = len(self.starts) - 2
-        return row
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-            self.flat, self.starts = array("I"), array("q", [0])
-
 
 class ByteBpe:
     def __init__(self, path: str):
-        import regex
         import tiktoken
 
         import public_tokenizers
@@ -53,52 +25,26 @@ class ByteBpe:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         with open(path) as f:
             self.special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-        encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._slow = regex.compile(public_tokenizers.PATTERN)
+        self.plain = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.words = WordIds(encoding._core_bpe.encode_single_piece)
         self.pieces = [b""] * (max(max(ranks.values()), *self.special.values()) + 1)
         for piece, i in ranks.items():
             self.pieces[i] = piece
 
-    def split(self, text: str) -> list[str]:
-        return (self._slow if not text.isascii() and _BEYOND.search(text) else _FAST).findall(text)
+    def ids(self, text: str) -> list[int]:
+        if not (self._special and "<|" in text and self._special.search(text)):
+            return self.plain(text)
+        out, at = [], 0
+        for m in self._special.finditer(text):
+            out += [*self.plain(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return out + self.plain(text[at:])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids end."""
-        words, counts, marks = [], [], []
-        for k, text in enumerate(texts):
-            if self._special and "<|" in text and self._special.search(text):
-                own = []
-                for part, mark in _around(self._special, text):
-                    own.extend(self.split(part))
-                    if mark:
-                        marks.append((k, len(own), self.special[mark]))
-                words.append(own)
-            else:
-                words.append(self.split(text))
-            counts.append(len(words[-1]))
-        self.words.trim()
-        rows = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, sum(counts))
-        starts, flat = np.frombuffer(self.words.starts, np.int64), np.frombuffer(self.words.flat or array("I", [0]), np.uint32)  # views, gone before words are added
-        sizes = starts[rows + 1] - starts[rows]
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(starts[rows] - at[:-1], sizes) + np.arange(at[-1])] if at[-1] else np.zeros(0, np.uint32)
-        ends = at[np.cumsum(np.asarray(counts, dtype=np.int64))] if counts else np.zeros(0, np.int64)
-        if marks:
-            first = np.concatenate([[0], np.cumsum(counts)])
-            where = np.array([at[first[k] + n] for k, n, _ in marks])
-            ids = np.insert(ids, where, [i for *_, i in marks])
-            ends = ends + np.searchsorted(np.array([k for k, *_ in marks]), np.arange(len(texts)), side="right")
-        return ids.astype(np.uint32, copy=False), ends
-
-
-def _around(pattern: re.Pattern, text: str):
-    at = 0
-    for m in pattern.finditer(text):
-        yield text[at : m.start()], m[0]
-        at = m.end()
-    yield text[at:], ""
+        found = [self.ids(t) for t in texts]
+        ends = np.cumsum([len(f) for f in found], dtype=np.int64) if found else np.zeros(0, np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]) if found else 0), ends
 
 
 @lru_cache(maxsize=2)
